@@ -1,7 +1,7 @@
 """Near-duplicate documents: banded MinHash, Bayesian pruning, exact links.
 
 1. A document becomes its set of word shingles (64-bit hashes), a signature of
-   120 minima and 24 band keys.  Documents of equal sets are one node.
+   120 minima and its band keys: 24 of 5 minima from 0.85 on, 30 of 4 below.  Documents of equal sets are one node.
 2. Nodes that share a band key are candidates.  In the first round a node is
    compared with the least node of each of its buckets, so a bucket of m nodes
    gives m - 1 pairs.  Links join nodes to components.  In the second round every
@@ -14,8 +14,8 @@
    P(similarity >= threshold) < MISS.  All others are confirmed on the full sets
    in whole numbers.
 
-The chance that a pair at the threshold (0.85) shares no band is
-(1 - 0.85**5)**24 < 1e-6; two sets share a node with chance 2**-64.
+The chance that a pair at the threshold shares no band is (1 - 0.85**5)**24 < 1e-6
+at 0.85 and (1 - 0.8**4)**30 < 2e-7 at 0.8; two sets share a node with chance 2**-64.
 
 Defined results: a null or empty text, or one without words, has no set and is
 linked with nothing; a text of fewer words than a shingle is one shingle; rows
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import keyed, small_enough, stored, table
 from .hashing import mix, prefix_sums, ranges
 
-HASHES, ROWS, BATCH = 120, 5, 30
+HASHES, BATCH = 120, 30
 MISS = 1e-6
 BROADCAST_ROWS = 500_000
 
@@ -75,10 +75,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(-1, ROWS).astype(np.uint64)
+def band_rows(percent: int) -> int:
+    return 5 if percent >= 85 else 4
+
+
+def band_keys(sig: np.ndarray, size: int) -> np.ndarray:
+    rows = sig.reshape(-1, size).astype(np.uint64)
     key = np.arange(1, len(rows) + 1, dtype=np.uint64)
-    for k in range(ROWS):
+    for k in range(size):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
     return key.view(np.int64)
 
@@ -103,7 +107,7 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
+def features(docs: DataFrame, size: int, rows: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, sig, bands``; node is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +120,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                     sig = signature(found)
                     node.append(node_of(found))
                     sigs.append(sig.tobytes())
-                    bands.append(band_keys(sig))
+                    bands.append(band_keys(sig, rows))
                 else:
                     node.append(None)
                     sigs.append(None)
@@ -216,7 +220,7 @@ def _second_round(bands: DataFrame, labels: DataFrame, seen: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id`` for every row of ``docs``."""
-    feats = stored(features(docs, size), "features")
+    feats = stored(features(docs, size, band_rows(percent)), "features")
     owner = feats.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
     owner = owner.select("node", "o.*")
     on = (feats["node"] == owner["node"]) & (feats["text_key"] == owner["text_key"]) & feats["doc_id"].eqNullSafe(owner["doc_id"])
