@@ -60,7 +60,10 @@ def positions(t: Column, activity: Column | str) -> Column:
 
 def parikh(t: Column, alphabet: Sequence[str]) -> Column:
     """Occurrences of each activity of ``alphabet``."""
-    return F.array(*[F.size(F.filter(t, lambda x, a=a: x == a)) for a in alphabet])
+    def count(a: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == a))
+
+    return F.array(*map(count, alphabet))
 
 
 def interior(t: Column) -> Column:

@@ -165,9 +165,32 @@ def binding_frequencies(log: EventLog, arcs: set[tuple[str, str]]) -> DataFrame:
     return log.weighted().mapInPandas(run, f"trace array<string>, occ long, {SCHEMA}, n long")
 
 
+def _missing_step(log: EventLog, arcs: set[tuple[str, str]]) -> tuple[str, str] | None:
+    """The most frequent direct step without an arc, of the variants that the arcs cannot carry; None if they carry all.
+
+    With all its direct steps as arcs a variant is carried, so adding them one by one ends.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            bad = [_assign(list(t), arcs) is None for t in df["trace"]]
+            yield df[bad]
+
+    failing = EventLog(log.cases, weighted=log.weighted().mapInPandas(run, "trace array<string>, occ long"))
+    steps = relations.direct_succession(failing)
+    if arcs:
+        known = log.cases.sparkSession.createDataFrame(sorted(arcs), "a string, b string")
+        steps = steps.join(F.broadcast(known), ["a", "b"], "left_anti")
+    row = steps.orderBy(F.desc("n"), "a", "b").first()
+    return (row["a"], row["b"]) if row else None
+
+
 def discover(log: EventLog, preferred: Iterable[tuple[str, str]] = (), window: int | None = None) -> tuple[Cnet, DataFrame]:
     """A causal net that replays the log on few arcs, and its binding frequencies."""
-    freq = binding_frequencies(log, minimal_arcs(log, preferred, window))
+    arcs = minimal_arcs(log, preferred, window)
+    while missing := _missing_step(log, arcs):
+        arcs.add(missing)
+    freq = binding_frequencies(log, arcs)
     used = freq.groupBy("side", "activity", "binding").agg(F.sum(F.col("occ") * F.col("n")).alias("n"))
     net = Cnet.from_rows((r["side"], r["activity"], r["binding"]) for r in used.collect())
     net.activities |= set(log.names())
