@@ -1,21 +1,24 @@
 """Near-duplicate documents: banded MinHash, Bayesian pruning, exact links.
 
 1. A document becomes its set of word shingles (64-bit hashes), a signature of
-   120 minima and its band keys: 24 of 5 minima from 0.85 on, 30 of 4 below.  Documents of equal sets are one node.
+   120 minima and its band keys, each of 8 minima: 48 at 0.85, 72 at 0.8.  So many
+   rows keep texts that only share a common passage out of each other's buckets.  Documents of equal sets are one node.
 2. Nodes that share a band key are candidates.  In the first round a node is
    compared with the least node of each of its buckets, so a bucket of m nodes
    gives m - 1 pairs.  Links join nodes to components.  In the second round every
    pair of a bucket whose nodes are in different components is compared too;
    each such pair has a node outside the bucket's largest component, so only
-   those nodes are joined against the bucket.  After it no candidate pair between
+   those nodes are joined against the bucket.  Sets whose sizes alone rule a link
+   out are not paired.  After it no candidate pair between
    components is unseen, and no link between different texts is lost.
 3. A pair's signatures are compared 30 hashes at a time.  With a uniform prior the
    similarity is Beta(m + 1, n - m + 1) after m of n matches; a pair goes when
    P(similarity >= threshold) < MISS.  All others are confirmed on the full sets
    in whole numbers.
 
-The chance that a pair at the threshold shares no band is (1 - 0.85**5)**24 < 1e-6
-at 0.85 and (1 - 0.8**4)**30 < 2e-7 at 0.8; two sets share a node with chance 2**-64.
+The chance that a pair at the threshold shares no band is below 3e-6 (see
+``bands_for``);
+two sets share a node with chance 2**-64.
 
 Defined results: a null or empty text, or one without words, has no set and is
 linked with nothing; a text of fewer words than a shingle is one shingle; rows
@@ -30,18 +33,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, small_enough, stored, table
 from .hashing import mix, prefix_sums, ranges
 
-HASHES, BATCH = 120, 30
+#: Minima of a signature, and how many are compared at a time; rows of a band.
+HASHES, BATCH, ROWS = 120, 30, 8
+MOST_BANDS = 96
 MISS = 1e-6
 BROADCAST_ROWS = 500_000
 
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_MULTIPLY, _ADD = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:][:, None]
+_SEEDS = mix(np.arange(1, 2 * ROWS * MOST_BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_MULTIPLY, _ADD = (_SEEDS[::2] | np.uint64(1))[:, None], _SEEDS[1::2][:, None]
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,22 +72,27 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 2048):
-        part = (shingles[None, at : at + 2048] * _MULTIPLY + _ADD) >> np.uint64(32)
-        np.minimum(best, part.min(1).astype(np.uint32), out=best)
-    return best
+def bands_for(percent: int) -> int:
+    """The fewest dozens of bands that miss a pair at the threshold with a chance below 3e-6."""
+    bands = 24
+    while (1 - (percent / 100) ** ROWS) ** bands > 3e-6 and bands < MOST_BANDS:
+        bands += 12
+    return bands
 
 
-def band_rows(percent: int) -> int:
-    return 5 if percent >= 85 else 4
+def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    best = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 512):
+        part = shingles[None, at : at + 512] * _MULTIPLY[:hashes]
+        part += _ADD[:hashes]
+        np.minimum(best, (part.min(1) >> np.uint64(32)).astype(np.uint32), out=best)
+    return best
 
 
-def band_keys(sig: np.ndarray, size: int) -> np.ndarray:
-    rows = sig.reshape(-1, size).astype(np.uint64)
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    rows = sig.reshape(-1, ROWS).astype(np.uint64)
     key = np.arange(1, len(rows) + 1, dtype=np.uint64)
-    for k in range(size):
+    for k in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
     return key.view(np.int64)
 
@@ -107,8 +117,9 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def features(docs: DataFrame, size: int, rows: int) -> DataFrame:
+def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, sig, bands``; node is null without words."""
+    hashes = ROWS * bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +128,10 @@ def features(docs: DataFrame, size: int, rows: int) -> DataFrame:
                 found = shingle_set(text.as_py(), size)
                 n.append(len(found))
                 if len(found):
-                    sig = signature(found)
+                    least = minima(found, hashes)
                     node.append(node_of(found))
-                    sigs.append(sig.tobytes())
-                    bands.append(band_keys(sig, rows))
+                    sigs.append(least[:HASHES].tobytes())
+                    bands.append(band_keys(least))
                 else:
                     node.append(None)
                     sigs.append(None)
@@ -206,34 +217,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _second_round(bands: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
+def _close(n: str, m: str, percent: int) -> Column:
+    """Sets of n and m shingles can be linked."""
+    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+
+
+def _second_round(bands: DataFrame, labels: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
     """Unseen pairs of a bucket between components; one node of each is outside the largest component."""
     linked = bands.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = linked.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("k"))
-    mixed = stored(linked.join(main.where("k > 1").select("band", "main"), "band"), "mixed")
-    minor = mixed.where("component <> main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = mixed.join(minor, "band").where("component <> cx")
+    sizes = linked.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = stored(linked.join(main.where("parts > 1").select("band", "main"), "band"), "mixed")
+    minor = mixed.where("component <> main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    pairs = mixed.join(minor, (mixed["band"] == minor["band"]) & (F.col("component") != F.col("cx")) & _close("n", "nx", percent))
     pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     return pairs.join(seen, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id`` for every row of ``docs``."""
-    feats = stored(features(docs, size, band_rows(percent)), "features")
+    feats = stored(features(docs, size, percent), "features")
     owner = feats.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
     owner = owner.select("node", "o.*")
     on = (feats["node"] == owner["node"]) & (feats["text_key"] == owner["text_key"]) & feats["doc_id"].eqNullSafe(owner["doc_id"])
     # one row a node, as equal rows hold equal values
-    nodes = stored(feats.join(owner, on, "left_semi").select("node", "doc_id", "text_key", "sig", "bands").dropDuplicates(["node"]), "nodes")
-
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    centres = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stored(bands.join(centres.select("band", "a"), "band"), "buckets")
-    first = stored(crowded.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    keep = ["node", "doc_id", "text_key", "n_shingles", "sig", "bands"]
+    nodes = stored(feats.join(owner, on, "left_semi").select(*keep).dropDuplicates(["node"]), "nodes")
+
+    bands = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    centres = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    centres = centres.select("band", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
+    crowded = stored(bands.join(centres, "band"), "buckets")
+    stars = crowded.where((F.col("node") != F.col("a")) & _close("n", "na", percent))
+    first = stored(stars.select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = _links(first, nodes, docs, size, percent)
     labels = components(links)
-    second = stored(_second_round(crowded.select("node", "band"), labels, first), "pairs")
+    second = stored(_second_round(crowded.select("node", "n", "band"), labels, first, percent), "pairs")
     if not second.isEmpty():
         links = links.unionByName(_links(second, nodes, docs, size, percent))
         labels = components(links)
