@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, BLANKS, table
+from .common import BLANK_CHARS, BLANKS, small_enough, stored, table
 
 SYMBOLS = "#*$%&|<>"
 #: Scores are whole numbers, so that every engine compares them alike.
@@ -39,6 +39,8 @@ GRID = {
     "repeats": (100, 150, 200, 250),
 }
 ALPHA, DELTA = 0.02, 0.05
+#: Strata up to which their cutoffs (a row each) are broadcast.
+MAX_BROADCAST = 10_000
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -140,13 +142,12 @@ def stratum() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``docs`` with the base columns, ``base_failed`` and ``kept``."""
-    measured = measures(docs)
-    known = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    # only labelled documents are scored for the cutoffs
-    labelled = measures(docs.join(known, "doc_id", "left_semi"))
-    cuts = certified_cutoffs(labelled, labels, alpha, delta)
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: bool = True) -> DataFrame:
+    """``docs`` with the base columns, ``base_failed`` and ``kept``; without ``text`` if that is not wanted."""
+    # measured once: the cutoffs read the numbers back, the verdicts all of it
+    measured = stored(measures(docs) if text else measures(docs).drop("text"), "measured")
+    cuts = certified_cutoffs(measured, labels, alpha, delta)
+    cuts = F.broadcast(cuts) if small_enough(cuts, MAX_BROADCAST) else cuts
     with_cuts = measured.join(cuts, stratum() == F.col("stratum"), "left")
     hit = F.lit(False)
     for r in RULES:
@@ -163,7 +164,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 def op2_quality_rules(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(docs, table(spark, sf_dir, "labels"))
+    out = judge(docs, table(spark, sf_dir, "labels"), text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
