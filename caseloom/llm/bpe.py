@@ -30,7 +30,7 @@ from .common import env_path, table
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens and states that a worker remembers before it starts anew.
-MAX_WORDS, MAX_STATES = 500_000, 300_000
+MAX_WORDS, MAX_STATES = 300_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +75,7 @@ class Transducer:
         if known is None:
             if token not in self._sound:
                 self._sound[token] = self._merged(token) == [token]
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._sound[token] and (not left or self._merged(left + token) == [left, token])
             self._pairs[pair] = known
