@@ -13,7 +13,8 @@ enough to keep the suffixes that begin at such anchors, one in about 73 bytes.
 * An anchor that occurs once has no repeated window.  If its whole block occurs
   again, all its windows are repeated.  What is left are the edges of repeated
   passages: blocks that occur once while their anchor occurs elsewhere.  Only for
-  keys with such a block, each window of each distinct block is hashed and counted.
+  keys with such a block, the windows of its distinct blocks are compared: in one
+  task for MAX_GROUP blocks at most, else as rows that are counted by hash.
 * All windows of a block hold its anchor, so their union is one interval; the
   intervals of a document are merged and cut.
 
@@ -35,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored, table
+from .common import keyed, small_enough, stored, table
 from .hashing import prefix_sums, ranges
 
 LENGTH, CORE = 200, 56
+#: Distinct blocks of a key that one task compares (some 300 bytes each); larger groups are spread.
+MAX_GROUP = 4096
+#: Documents (two numbers each) up to which a set of them is broadcast, after a count.
+BROADCAST_ROWS = 500_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -146,28 +151,91 @@ def index_parts(found: DataFrame) -> DataFrame:
     return found.select("key", "block").mapInArrow(run, "key long, block long, n long")
 
 
-def _window_hits(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``key, block, low, high``: first and last repeated window of the blocks in ``asked`` that occur once."""
+def _of_docs(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose document is in ``keys`` (``left_anti``: is not)."""
+    on = (rows["text_key"] == keys["text_key"]) & rows["doc_id"].eqNullSafe(keys["doc_id"])
+    return rows.join(F.broadcast(keys), on, how)
+
+
+def _pieces(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """``key, block, n, piece``: the bytes of each block in ``asked``, read from its text."""
     kind = pa.list_(pa.struct([("key", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("span", pa.int32()), ("n", pa.int64())]))
     lists = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "block", "first", "span", "n")).alias("asked"))
     rows = keyed(docs).select("doc_id", "text_key", "text")
+    holders = asked.select("doc_id", "text_key").distinct()
+    if small_enough(holders, BROADCAST_ROWS):
+        rows = _of_docs(rows, holders)  # other texts need not be shuffled
     on = (rows["text_key"] == lists["text_key"]) & rows["doc_id"].eqNullSafe(lists["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, places in zip(batch.column(0), batch.column(1).cast(kind), strict=True):
-                sums = prefix_sums(np.frombuffer(text.as_py().encode(), np.uint8))
-                flat = places.values.flatten()
-                key, block, first, span, n = (x.to_numpy(zero_copy_only=False) for x in flat)
-                size = span.astype(np.int64) + 1
-                off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                at = np.repeat(first.astype(np.int64), size) + off
-                h = ranges(sums, at, at + length).view(np.int64)
-                cols = [np.repeat(key, size), np.repeat(block, size), off.astype(np.int32), h, np.minimum(np.repeat(n, size), 2)]
+                data = text.as_py().encode()
+                key, block, first, span, n = places.values.flatten()
+                cut = [data[i : i + k + length] for i, k in zip(first.to_pylist(), span.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([key, block, n, pa.array(cut, pa.binary())], ["key", "block", "n", "piece"])
+
+    return rows.join(lists, on).select("text", "asked").mapInArrow(run, "key long, block long, n long, piece binary")
+
+
+def _windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of some pieces: number of the piece, offset in it, hash."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    many = sizes - (length - 1)
+    which = np.repeat(np.arange(len(pieces)), many)
+    off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = off + np.repeat(np.cumsum(sizes) - sizes, many)
+    return which, off, ranges(prefix_sums(data), at, at + length)
+
+
+def _group_hits(pieces: DataFrame, length: int) -> DataFrame:
+    """Groups of MAX_GROUP blocks at most, each whole in one task: ``key, block, low, high``."""
+
+    def solve(key: np.ndarray, block: np.ndarray, n: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch:
+        which, off, h = _windows(pieces, length)
+        order = np.lexsort((h, key[which]))
+        k, x = key[which][order], h[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
+        group = np.cumsum(new) - 1
+        again = (np.bincount(group, np.minimum(n, 2)[which][order]) > 1)[group]
+        hit = order[again & (n[which][order] == 1)]
+        low, high = np.full(len(key), 1 << 30), np.full(len(key), -1)
+        np.minimum.at(low, which[hit], off[hit])
+        np.maximum.at(high, which[hit], off[hit])
+        got = high >= 0
+        cols = [pa.array(key[got]), pa.array(block[got]), pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["key", "block", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [np.zeros(0, np.int64)] * 3 + [[]]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                held = [np.concatenate([x, part.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held[:3])] + [held[3] + part.column(3).to_pylist()]
+                done = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+                if done:
+                    yield solve(*(x[:done] for x in held))
+                    held = [x[done:] for x in held]
+        if len(held[0]):
+            yield solve(*held)
+
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, block long, low int, high int")
+
+
+def _crowd_hits(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for groups of any size: each window is a row, counted by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                which, off, h = _windows(part.column(3).to_pylist(), length)
+                key, block, n = (part.column(i).to_numpy(zero_copy_only=False)[which] for i in range(3))
+                cols = [key, block, off.astype(np.int32), h.view(np.int64), np.minimum(n, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "off", "h", "n"])
 
-    each = rows.join(lists, on).select("text", "asked").mapInArrow(run, "key long, block long, off int, h long, n long")
-    each = stored(each, "windows")
+    each = stored(pieces.mapInArrow(run, "key long, block long, off int, h long, n long"), "windows")
     again = each.groupBy("key", "h").agg(F.sum("n").alias("total")).where("total > 1").select("key", "h")
     hits = each.where("n = 1").join(again, ["key", "h"])
     return hits.groupBy("key", "block").agg(F.min("off").alias("low"), F.max("off").alias("high"))
@@ -183,8 +251,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     place = F.struct("doc_id", "text_key", "first", "span")
     blocks = stored(shared.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "blocks")
     edges = blocks.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("least = 1 and k > 1")
-    asked = blocks.join(edges.select("key"), "key", "left_semi").select("key", "block", "n", "at.*")
-    hits = _window_hits(asked, docs, length)
+    asked = stored(blocks.join(edges.select("key", "k"), "key").select("key", "block", "n", "k", "at.*"), "asked")
+    hits = _group_hits(_pieces(asked.where(F.col("k") <= MAX_GROUP), docs, length), length)
+    crowds = asked.where(F.col("k") > MAX_GROUP)
+    if not crowds.isEmpty():
+        hits = hits.unionByName(_crowd_hits(_pieces(crowds, docs, length), length))
     whole = blocks.where("n > 1").select("key", "block", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
     cover = stored(hits.select("key", "block", "low", "high").unionByName(whole), "cover")
     spans = shared.join(cover, ["key", "block"]).select(
@@ -198,8 +269,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> Data
     marks = stored(repeated_spans(docs, length, core), "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
+    names = marks.select("doc_id", "text_key")
     on = (rows["text_key"] == marks["text_key"]) & rows["doc_id"].eqNullSafe(marks["doc_id"])
-    joined = rows.join(marks, on, "left").select(rows["doc_id"], rows["text_key"], rows["text"], "spans")
+    pick = [rows["doc_id"], rows["text_key"], rows["text"], "spans"]
+    if small_enough(names, BROADCAST_ROWS):
+        # only the texts that will be cut are shuffled
+        cut = _of_docs(rows, names).join(marks, on).select(*pick)
+        rest = _of_docs(rows, names, "left_anti").withColumn("spans", F.lit(None).cast(marks.schema["spans"].dataType))
+        joined = cut.unionByName(rest.select(*cut.columns))
+    else:
+        joined = rows.join(marks, on, "left").select(*pick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
