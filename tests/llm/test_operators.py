@@ -273,7 +273,7 @@ def test_chains_and_crowds(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got) == brute_components(docs, 3, 85)
 
 
-def test_suffix_dedup(spark, odd, none, small):
+def test_suffix_dedup(spark, odd, none, small, monkeypatch):
     rng = np.random.default_rng(2)
     letters = np.array(list("abcdefgh é"))
     passage = "".join(rng.choice(letters, 260))
@@ -286,6 +286,12 @@ def test_suffix_dedup(spark, odd, none, small):
         got = suffixdedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
         assert sorted((r[0] or -1, *r[1:]) for r in got) == want
     assert suffixdedup.cut_repeats(none).count() == 0
+    monkeypatch.setattr(suffixdedup, "MAX_GROUP", 3)
+    monkeypatch.setattr(suffixdedup, "BROADCAST_ROWS", 0)
+    pairs = texts(made)
+    want = sorted((i or -1, *x) for (i, _), x in zip(pairs, suffixdedup.brute_force([t for _, t in pairs])))
+    got = suffixdedup.cut_repeats(made).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted((r[0] or -1, *r[1:]) for r in got) == want
 
 
 def test_index_family_is_logarithmic():
