@@ -66,30 +66,36 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray | int]:
         if counts.max() < MIN_COUNT:
             break
         floor = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        at = np.flatnonzero((counts >= floor)[bucket] & ~last[:-1])
-        pairs, each = np.unique(a[at].astype(np.int64) << 32 | b[at], return_counts=True)
-        pairs = pairs[each >= MIN_COUNT]
-        if not len(pairs):
-            break
-        key = a[at].astype(np.int64) << 32 | b[at]
-        where = np.searchsorted(pairs, key)
-        where[where == len(pairs)] = 0
-        hit = pairs[where] == key
+        chosen = np.flatnonzero(counts >= floor)
+        slot = np.full(BUCKETS, -1, np.int32)
+        slot[chosen] = np.arange(len(chosen))
+        where = slot[bucket]
+        at = np.flatnonzero((where >= 0) & ~last[:-1])
+        where = where[at]
+        # of pairs that share a bucket one stands for it
+        left, right = np.empty(len(chosen), np.int32), np.empty(len(chosen), np.int32)
+        left[where], right[where] = a[at], b[at]
+        hit = (left[where] == a[at]) & (right[where] == b[at])
         at, where = at[hit], where[hit]
+        if not len(at):
+            break
         # of overlapping places take every other one, from the left
-        run = np.cumsum(np.r_[True, np.diff(at) != 1]) - 1
-        first = at[np.r_[True, np.diff(at) != 1]]
-        take = (at - first[run]) % 2 == 0
+        fresh = np.r_[True, np.diff(at) != 1]
+        take = (at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0
         at, where = at[take], where[take]
-        used, where = np.unique(where, return_inverse=True)
+        often = np.bincount(where, minlength=len(chosen)) >= MIN_COUNT
+        if not often.any():
+            break
+        number = np.cumsum(often) - 1
+        at, where = at[often[where]], number[where[often[where]]]
         seq = seq.copy()
         seq[at] = top + where
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1).astype(np.int32))
-        top += len(used)
+        rules.append(np.stack([left[often], right[often]], 1))
+        top += int(often.sum())
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
     lengths = np.ones(top, np.int32)
     for k, (x, y) in enumerate(rule.tolist()):
@@ -152,13 +158,9 @@ def _encode_batch(texts: list[str], path: str, pattern: str) -> list[np.ndarray]
         known.clear()
     new = list(set(chain.from_iterable(pieces)) - known.keys())
     for word, code in zip(new, tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = tuple(code.ids)
-    out = []
-    for p in pieces:
-        ids = list(chain.from_iterable(map(known.__getitem__, p)))
-        ids.append(END_ID)
-        out.append(np.array(ids, np.int32))
-    return out
+        known[word] = np.array(code.ids, np.int32).tobytes()
+    end = np.array([END_ID], np.int32).tobytes()
+    return [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, np.int32) for p in pieces]
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -170,7 +172,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | N
     path, pattern = tokenizer or env_path(DEFAULT_TOKENIZER), _pattern(pattern)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
