@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import env_path, table
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens and states that a worker remembers before it starts anew.
-MAX_WORDS, MAX_STATES = 300_000, 150_000
+#: Pre-tokens (of two generations each) and states that a worker remembers.
+MAX_WORDS, MAX_STATES = 250_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +48,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.inner = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._sound: dict[bytes, bool] = {}
+        self._splits: dict[bytes, tuple[bytes, bytes] | None | bool] = {}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
 
@@ -59,25 +58,48 @@ class Transducer:
         self.states = [start]
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def _merged(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes ``token``; None for a byte; raises KeyError if BPE never makes it."""
+        if token not in self._splits:
+            parts, own = [token[i : i + 1] for i in range(len(token))], self.ranks[token]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank >= own:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self._splits[token] = tuple(parts) if len(parts) == 2 else None if len(parts) == 1 else False
+        if self._splits[token] is False:
+            raise KeyError(token)
+        return self._splits[token]
+
+    def _kept_apart(self, x: bytes, y: bytes) -> bool:
+        """Whether BPE leaves x and y as they are.
+
+        Their merges are undone from the latest on; the ends that then touch must not
+        have a merge that comes before the one undone (of equal ranks the left is first).
+        """
+        limit = 1 << 60
+        while self.ranks.get(x + y, 1 << 60) >= limit or x + y not in self.ranks:
+            rx, ry = self.ranks[x] if len(x) > 1 else -1, self.ranks[y] if len(y) > 1 else -1
+            if rx < 0 and ry < 0:
+                return True
+            if rx > ry:
+                x, limit = self._split(x)[1], rx
+            else:
+                y, limit = self._split(y)[0], ry + 1
+        return False
 
     def _allowed(self, left: bytes, token: bytes) -> bool:
         pair = (left, token)
         known = self._pairs.get(pair)
         if known is None:
-            if token not in self._sound:
-                self._sound[token] = self._merged(token) == [token]
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
-            known = self._sound[token] and (not left or self._merged(left + token) == [left, token])
+            try:
+                self._split(token)
+                known = not left or self._kept_apart(left, token)
+            except KeyError:
+                known = False
             self._pairs[pair] = known
         return known
 
@@ -169,19 +191,26 @@ class Codec:
         machine = Transducer(ranks)
 
         class Words(dict):
+            """Ids of pre-tokens as bytes; the generation before is asked when a word is missing."""
+
             def __missing__(self, word):
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = np.array(machine.encode(word.encode()), np.int32).tobytes()
                 if len(self) >= MAX_WORDS:
+                    self.old = dict(self)
                     self.clear()
-                ids = self[word] = machine.encode(word.encode())
+                self[word] = ids
                 return ids
 
         self.words = Words()
+        self.words.old = {}
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.int32)
 
     def stream(self, ids: Iterable[int], size: int = 1 << 16) -> Iterator[bytes]:
-        state, ids = Utf8Stream(), ids if isinstance(ids, list) else list(ids)
+        state, ids = Utf8Stream(), ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
         for i in range(0, len(ids), size):
             yield state.feed(b"".join(map(self.bytes_of.__getitem__, ids[i : i + size])))
         yield state.close()
@@ -220,7 +249,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
                 found = [tool.encode(t or "") for t in part.column(1).to_pylist()]
                 ends = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
                     cols.append(pa.array([tool.decode(x) for x in found], pa.binary()))
