@@ -29,49 +29,67 @@ from .common import env_path, table
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 #: Nodes after which a worker starts a new trie; results do not depend on it.
 MAX_NODES = 700_000
+#: Bytes of a pre-token that can share nodes.
+SHARED = 512
 
 
 class SharedTrie:
-    """Nodes are keyed by their prefix; a value holds (score, pieces) of the best segmentation."""
+    """Nodes are numbers; a node holds the score and pieces of the best segmentation of its prefix.
+
+    A pre-token is shared down to SHARED bytes; what lies deeper is scored without nodes.
+    """
 
     def __init__(self, scores: dict[bytes, float], max_nodes: int = MAX_NODES):
         self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores))
-        # a suffix of length n can be a piece only if its last two bytes end such a piece
-        self.ends: dict[bytes, tuple[int, ...]] = {}
+        # a suffix of length n can be a piece only if its last three bytes end such a piece
         ends: dict[bytes, set[int]] = {}
         for piece in scores:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
         self.ends = {k: tuple(sorted(v)) for k, v in ends.items()}
-        self.nodes: dict[bytes, tuple[float, int]] = {b"": (0.0, 0)}
-
-    def count(self, word: bytes) -> int:
-        nodes = self.nodes
-        known = nodes.get(word)
-        if known is not None:
-            return known[1]
-        if len(nodes) > self.max_nodes:
-            nodes.clear()
-            nodes[b""] = (0.0, 0)
-        n = len(word)
-        at = n - 1
-        while word[:at] not in nodes:
-            at -= 1
-        for end in range(at + 1, n + 1):
-            score, pieces = nodes[word[: end - 1]]
-            score += self.scores[word[end - 1 : end]]
-            pieces += 1
-            for size in self.ends.get(word[max(0, end - 2) : end], ()) if end > 1 else ():
+        self.longest = max(map(len, scores))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.children: dict[int, int] = {}
+        self.nodes: list[tuple[float, int]] = [(0.0, 0)]
+
+    def _score(self, word: bytes, end: int, best: list[tuple[float, int]]) -> tuple[float, int]:
+        """Of word[:end], from the scores of its shorter prefixes."""
+        scores = self.scores
+        score, pieces = best[-1]
+        score += scores[word[end - 1 : end]]
+        pieces += 1
+        if end > 1:
+            own = scores.get(word[end - 2 : end])
+            if own is not None:
+                before, k = best[end - 2]
+                if before + own > score or before + own == score and k < pieces:
+                    score, pieces = before + own, k + 1
+            for size in self.ends.get(word[end - 3 : end], ()) if end > 2 else ():
                 if size > end:
                     break
-                own = self.scores.get(word[end - size : end])
+                own = scores.get(word[end - size : end])
                 if own is not None:
-                    before, k = nodes[word[: end - size]]
+                    before, k = best[end - size]
                     if before + own > score or before + own == score and k < pieces:
                         score, pieces = before + own, k + 1
-            nodes[word[:end]] = (score, pieces)
-        return nodes[word][1]
+        return score, pieces
+
+    def count(self, word: bytes) -> int:
+        if len(self.nodes) > self.max_nodes:
+            self._reset()
+        node, path = 0, [self.nodes[0]]
+        for end, byte in enumerate(word[:SHARED], 1):
+            to = self.children.get(node << 8 | byte)
+            if to is None:
+                to = self.children[node << 8 | byte] = len(self.nodes)
+                self.nodes.append(self._score(word, end, path))
+            node = to
+            path.append(self.nodes[node])
+        for end in range(SHARED + 1, len(word) + 1):
+            path.append(self._score(word, end, path))
+        return path[-1][1]
 
 
 def unigram_scores(path: str) -> dict[bytes, float]:
@@ -85,7 +103,7 @@ def _trie(path: str, pattern: str):
     if (path, pattern) not in _tries:
         import regex
 
-        _tries[path, pattern] = (SharedTrie(unigram_scores(path)), regex.compile(pattern).findall)
+        _tries[path, pattern] = (SharedTrie(unigram_scores(path)), regex.compile(pattern).findall, {})
     return _tries[path, pattern]
 
 
@@ -94,17 +112,17 @@ def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None
     path, pattern = ranks or env_path(DEFAULT_RANKS), _pattern(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, split = _trie(path, pattern)
+        trie, split, counted = _trie(path, pattern)  # counted: pieces of distinct pre-tokens
         for batch in batches:
-            counted: dict[str, int] = {}  # terminal counts of this batch's distinct pre-tokens
             rows = []
             for text in batch.column(1):
                 words = Counter(split(text.as_py() or ""))
-                for w in words.keys() - counted.keys():
-                    counted[w] = trie.count(w.encode())
+                for w in words:
+                    if w not in counted:
+                        counted[w] = trie.count(w.encode())
                 rows.append((sum(words.values()), sum(n * counted[w] for w, n in words.items())))
                 if len(counted) > MAX_NODES:
-                    counted = {}
+                    counted.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), ())))],
                 ["doc_id", "n_pretokens", "n_tokens"],
