@@ -5,12 +5,15 @@
    rows keep texts that only share a common passage out of each other's buckets.  Documents of equal sets are one node.
 2. Nodes that share a band key are candidates.  In the first round a node is
    compared with the least node of each of its buckets, so a bucket of m nodes
-   gives m - 1 pairs.  Links join nodes to components.  In the second round every
-   pair of a bucket whose nodes are in different components is compared too;
-   each such pair has a node outside the bucket's largest component, so only
-   those nodes are joined against the bucket.  Sets whose sizes alone rule a link
-   out are not paired.  After it no candidate pair between
-   components is unseen, and no link between different texts is lost.
+   gives m - 1 pairs.  Links join nodes to components.
+   For buckets that still hold several components, the shingles that only one of
+   their nodes has are counted; nobody shares these, which rules most links out.
+   In the second round each node is compared with the bucket's node of fewest such
+   shingles, the likeliest origin of its copies.  In the last round every pair that
+   is left between components is compared; each such pair has a node outside the
+   bucket's largest component, so only those nodes are joined against the bucket.
+   After it no candidate pair between components that can be a link is unseen, and
+   no link between different texts is lost.
 3. A pair's signatures are compared 30 hashes at a time.  With a uniform prior the
    similarity is Beta(m + 1, n - m + 1) after m of n matches; a pair goes when
    P(similarity >= threshold) < MISS.  All others are confirmed on the full sets
@@ -43,6 +46,8 @@ from .hashing import mix, prefix_sums, ranges
 HASHES, BATCH, ROWS = 120, 30, 8
 MOST_BANDS = 96
 MISS = 1e-6
+#: 64-bit words of the cells that bound how far two sets are apart.
+WORDS = 8
 BROADCAST_ROWS = 500_000
 
 _SEEDS = mix(np.arange(1, 2 * ROWS * MOST_BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -97,6 +102,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def odd_cells(shingles: np.ndarray) -> np.ndarray:
+    """One bit a cell of hashes: whether an odd number of the shingles falls into it."""
+    odd = np.bincount((shingles & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_of(shingles: np.ndarray) -> int:
     import xxhash
 
@@ -118,12 +129,12 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, sig, bands``; node is null without words."""
+    """``doc_id, text_key, n_shingles, node, sig, bands, cells``; node is null without words."""
     hashes = ROWS * bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, sigs, bands = [], [], [], []
+            n, node, sigs, bands, cells = [], [], [], [], []
             for text in batch.column(2):
                 found = shingle_set(text.as_py(), size)
                 n.append(len(found))
@@ -132,15 +143,17 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     node.append(node_of(found))
                     sigs.append(least[:HASHES].tobytes())
                     bands.append(band_keys(least))
+                    cells.append(odd_cells(found))
                 else:
                     node.append(None)
                     sigs.append(None)
                     bands.append(None)
-            cols = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_key", "n_shingles", "node", "sig", "bands"])
+                    cells.append(None)
+            cols = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in (bands, cells))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_key", "n_shingles", "node", "sig", "bands", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key long, n_shingles long, node long, sig binary, bands array<long>"
+    schema = f"doc_id {kind}, text_key long, n_shingles long, node long, sig binary, bands array<long>, cells array<long>"
     return keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
@@ -222,16 +235,59 @@ def _close(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def _second_round(bands: DataFrame, labels: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Unseen pairs of a bucket between components; one node of each is outside the largest component."""
-    linked = bands.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = linked.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+def _lone(asked: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node, lone, odd0, odd1, ...``: the shingles that a node has and no other of the ``asked`` nodes, and their odd cells."""
+    owners = _hint(stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "text_key"), "owners"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = pa.array(shingle_set(text.as_py(), size).view(np.int64))
+                own = pa.array(np.full(len(found), node.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([own, found], ["node", "shingle"])
+
+    rows = keyed(docs).select("doc_id", "text_key", "text")
+    on = (rows["text_key"] == owners["text_key"]) & rows["doc_id"].eqNullSafe(owners["doc_id"])
+    items = rows.join(owners, on).select("node", "text").mapInArrow(run, "node long, shingle long")
+    # repeated rows of an owner are one holder: its least and greatest node are equal
+    held = items.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 AS int))"), F.expr(f"(shingle >> 6) & {WORDS - 1}")
+    odd = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"odd{k}") for k in range(WORDS)]
+    return held.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), *odd)
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with the largest as ``main``."""
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("band").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = stored(linked.join(main.where("parts > 1").select("band", "main"), "band"), "mixed")
-    minor = mixed.where("component <> main").select("band", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    pairs = mixed.join(minor, (mixed["band"] == minor["band"]) & (F.col("component") != F.col("cx")) & _close("n", "nx", percent))
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return pairs.join(seen, ["a", "b"], "left_anti")
+    return stored(rows.join(main.where("parts > 1").select("band", "main"), "band"), label)
+
+
+def _open(bands: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``band, node, n, lone, odd`` of mixed buckets, without nodes whose lone shingles alone rule out every partner."""
+    crowd = _mixed(bands, labels, "mixed")
+    asked = stored(crowd.select("node").distinct(), "asked")
+    own = nodes.select("node", "cells").join(asked, "node").join(_lone(asked, nodes, docs, size), "node", "left")
+    odd = F.array(*(F.col("cells")[k].bitwiseXOR(F.coalesce(f"odd{k}", F.lit(0).cast("long"))) for k in range(WORDS)))
+    own = own.select("node", F.coalesce("lone", F.lit(0).cast("long")).alias("lone"), odd.alias("odd"))
+    rows = crowd.select("band", "node", "n").join(own, "node")
+    return stored(rows.where((F.col("n") - F.col("lone")) * 100 >= percent * F.col("n")), "open")
+
+
+def _partners(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket between components that can be linked.
+
+    Sets of n and m shingles are linked if and only if (100 + percent) * d <= (100 - percent) * (n + m),
+    with d shingles in just one of them: all lone ones, and one at least for each cell of
+    the others that holds an odd number in one set and an even number in the other.
+    """
+    right = right.select("band", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "lone", "odd")))
+    apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("odd_x")[k])) for k in range(WORDS)), F.col("lone") + F.col("lone_x"))
+    common = F.abs(F.expr("n - lone - n_x + lone_x")) + F.col("lone") + F.col("lone_x")
+    can = F.greatest(apart, common) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_x"))
+    pairs = left.join(right, (left["band"] == right["band"]) & (F.col("component") != F.col("component_x")) & can)
+    return pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     owner = owner.select("node", "o.*")
     on = (feats["node"] == owner["node"]) & (feats["text_key"] == owner["text_key"]) & feats["doc_id"].eqNullSafe(owner["doc_id"])
     # one row a node, as equal rows hold equal values
-    keep = ["node", "doc_id", "text_key", "n_shingles", "sig", "bands"]
+    keep = ["node", "doc_id", "text_key", "n_shingles", "sig", "bands", "cells"]
     nodes = stored(feats.join(owner, on, "left_semi").select(*keep).dropDuplicates(["node"]), "nodes")
 
     bands = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -252,10 +308,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = stored(stars.select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = _links(first, nodes, docs, size, percent)
     labels = components(links)
-    second = stored(_second_round(crowded.select("node", "n", "band"), labels, first, percent), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_links(second, nodes, docs, size, percent))
-        labels = components(links)
+    seen = first
+    rows = _open(crowded.select("node", "n", "band"), labels, nodes, docs, size, percent)
+    for hubs in (True, False):
+        mixed = _mixed(rows, labels, "open")
+        if hubs:
+            hub = mixed.groupBy("band").agg(F.min(F.struct("lone", "node"))["node"].alias("hub"))
+            others = mixed.join(hub, "band").where("node = hub")
+        else:
+            others = mixed.where("component <> main")
+        pairs = stored(_partners(mixed, others, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(_links(pairs, nodes, docs, size, percent))
+            labels = components(links)
+            seen = seen.unionByName(pairs)
 
     least = owner.select("node", "doc_id").join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "component").select("node", "component_id")
