@@ -302,3 +302,21 @@ def test_index_family_is_logarithmic():
         assert hit.tolist() == [int(x) in seen for x in key]
         seen |= set(map(int, key))
     assert len(family.levels) <= 8 and family.merged()[2].sum() == 6400
+
+
+def test_long_pretokens_and_set_bounds():
+    scores = tokens.unigram_scores(env_path(tokens.DEFAULT_RANKS))
+    trie = tokens.SharedTrie(scores)
+    word = b"abcdefgh" * 200
+    at = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        fits = [(at[i][0] + scores[word[i:e]], -at[i][1] - 1) for i in range(max(0, e - trie.longest), e) if word[i:e] in scores]
+        at.append((max(fits)[0], -max(fits)[1]))
+    assert trie.count(word) == trie.count(word) == at[-1][1]
+    assert trie.count(word[:100]) == at[100][1] and trie.count(word[:700]) == at[700][1]
+
+    x = neardup.shingle_set(" ".join(f"w{i}" for i in range(300)), 3)
+    y = neardup.shingle_set(" ".join(f"w{i}" for i in range(0, 300) if i % 40), 3)
+    apart = len(set(x.tolist()) ^ set(y.tolist()))
+    cells = neardup.odd_cells(x) ^ neardup.odd_cells(y)
+    assert 0 < sum(bin(int(c) & (2**64 - 1)).count("1") for c in cells) <= apart
