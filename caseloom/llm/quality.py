@@ -11,6 +11,10 @@ certified cutoff of a rule holds; without one the rule rejects nothing.  By the
 union bound a stratum loses more than ``alpha`` of its good documents over all
 rules with probability ``delta`` at most.
 
+The verdict of ``judge`` is fixed by its SQL.  Even k = 0 then needs some 1430
+good documents in each of four strata.  ``quality_rules``, which the pipeline
+calls, spends alpha on joint rule sets instead (``joint_cutoffs``).
+
 Defined results: a null or empty text has no words and fails the base rule; a
 null language is a stratum of its own; a document with several labels is good
 only if all are 1; unlabelled strata have no rules; repeated rows are scored
@@ -39,6 +43,8 @@ GRID = {
     "repeats": (100, 150, 200, 250),
 }
 ALPHA, DELTA = 0.02, 0.05
+#: Rules as ``joint_cutoffs`` tightens them: what the base rule does not see comes first.
+ORDER = ("symbols", "long_words", "dup_lines", "repeats")
 #: Strata up to which their cutoffs (a row each) are broadcast.
 MAX_BROADCAST = 10_000
 
@@ -138,15 +144,69 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
     )
 
 
+def _chains() -> list[list[dict[str, int]]]:
+    """Nested rule sets (rule -> cutoff), the loosest first; chain c tightens the rules one by one from the c-th of ORDER on."""
+    chains = []
+    for c in range(len(ORDER)):
+        held: dict[str, int] = {}
+        chains.append([])
+        for rule in ORDER[c:] + ORDER[:c]:
+            for cut in sorted(GRID[rule], reverse=True):
+                held = held | {rule: cut}
+                chains[-1].append(held)
+    return chains
+
+
+def joint_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """As ``certified_cutoffs``, but a rule set is certified as a whole, with all of ``alpha``.
+
+    The rule sets of a chain are nested and tested in turn at the same level, up
+    to the first that fails (fixed-sequence testing), so that only strata and
+    chains share ``delta``.  k grows along a chain, so the last set that passes
+    is the one.  A stratum takes the chain that came furthest.
+    """
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    held = measured.join(good.where("_quality = 1"), "doc_id")
+    sound = ~base_failed()
+    trials = []
+    for c, chain in enumerate(_chains()):
+        for at, cuts in enumerate(chain):
+            lost = F.lit(False)
+            for rule, cut in cuts.items():
+                lost = lost | _exceeds(rule, F.lit(cut))
+            trials.append((c, at, cuts, F.count_if(sound & lost).alias(f"k{c}_{at}")))
+    counts = held.groupBy(stratum().alias("stratum")).agg(F.count_if(sound).alias("n"), *[t[3] for t in trials])
+    total = counts.agg(F.count(F.lit(1)).alias("strata"))
+    each = [
+        F.struct(
+            F.lit(at).alias("at"),
+            F.lit(-c).alias("chain"),
+            *[F.lit(cuts.get(r)).cast("int").alias(f"cut_{r}") for r in RULES],
+            F.col(f"k{c}_{at}").alias("k"),
+        )
+        for c, at, cuts, _ in trials
+    ]
+    rows = counts.select("stratum", "n", F.explode(F.array(*each)).alias("t"))
+    level = F.lit(delta) / (F.col("strata") * len(ORDER))
+    passed = (
+        rows.where(F.col("t.k") < F.col("n") * alpha)
+        .withColumn("p", binomial_cdf(F.col("t.k"), F.col("n"), alpha))
+        .crossJoin(F.broadcast(total))  # one row
+        .where(F.col("p") <= level)
+    )
+    best = passed.groupBy("stratum").agg(F.max("t").alias("t"))
+    return best.select("stratum", *[F.col(f"t.cut_{r}").alias(f"cut_{r}") for r in RULES])
+
+
 def stratum() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: bool = True, cutoffs=certified_cutoffs) -> DataFrame:
     """``docs`` with the base columns, ``base_failed`` and ``kept``; without ``text`` if that is not wanted."""
     # measured once: the cutoffs read the numbers back, the verdicts all of it
     measured = stored(measures(docs) if text else measures(docs).drop("text"), "measured")
-    cuts = certified_cutoffs(measured, labels, alpha, delta)
+    cuts = cutoffs(measured, labels, alpha, delta)
     cuts = F.broadcast(cuts) if small_enough(cuts, MAX_BROADCAST) else cuts
     with_cuts = measured.join(cuts, stratum() == F.col("stratum"), "left")
     hit = F.lit(False)
@@ -159,7 +219,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The kept rows of ``docs`` with their own columns."""
-    return judge(docs, labels, alpha, delta).where("kept").select(*docs.columns)
+    return judge(docs, labels, alpha, delta, cutoffs=joint_cutoffs).where("kept").select(*docs.columns)
 
 
 def op2_quality_rules(spark, sf_dir) -> DataFrame:

@@ -92,6 +92,19 @@ def test_certified_cutoffs_are_exact(spark):
     assert kept.where("bad = 0").count() == 2000 and kept.where("bad = 1").count() == 0
 
 
+def test_small_strata_get_joint_cutoffs(spark):
+    """300 good documents of 4 strata are enough; 50 are not; a rule that good documents break does not hold back the others."""
+    good, long = " ".join(f"w{j}x" for j in range(30)), " ".join(f"longerword{j}" for j in range(30))
+    rows_ = []
+    for lang, n in (("de", 300), ("es", 300), ("sh", 300), ("tiny", 50)):
+        mine, bad = (good.replace("w", "#"), "#" + long) if lang == "sh" else (good, "#" + good)
+        rows_ += [(f"{lang}{i}", mine, lang, 1) for i in range(n)] + [(f"{lang}x{i}", bad, lang, 0) for i in range(20)]
+    docs = spark.createDataFrame(rows_, "doc_id string, text string, lang string, quality int")
+    labels = docs.select("doc_id", "quality")
+    kept = quality.quality_rules(docs, labels).groupBy("lang", "quality").count().collect()
+    assert {(r["lang"], r["quality"]): r["count"] for r in kept} == {("de", 1): 300, ("es", 1): 300, ("sh", 1): 300, ("tiny", 1): 50, ("tiny", 0): 20}
+
+
 @pytest.mark.parametrize("block", [200, repair.BLOCK_IDS])
 def test_repair_round_trip(odd, none, block):
     from tokenizers import Tokenizer
