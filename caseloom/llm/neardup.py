@@ -292,6 +292,11 @@ def _partners(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id`` for every row of ``docs``."""
+    return _grouped(docs, size, percent).drop("component")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``component``, a node of the component; null where a text has no set."""
     feats = stored(features(docs, size, percent), "features")
     owner = feats.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
     owner = owner.select("node", "o.*")
@@ -324,18 +329,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             seen = seen.unionByName(pairs)
 
     least = owner.select("node", "doc_id").join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(least, "component").select("node", "component_id")
+    named = labels.join(least, "component").select("node", "component", "component_id")
     alone = owner.select("node", F.col("doc_id").alias("own"))
-    named = alone.join(named, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
+    named = alone.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
     out = feats.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the least id, the least text key of equal ids."""
-    found = near_duplicates(docs, size, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    """``docs`` with one document of each component: the least id, the least text key of equal ids.
+
+    Null is the least id only where all are null.  Of rows that repeat id and
+    text any one stays.  A text without words is a component of its own.
+    """
+    rows = _grouped(docs, size, percent).where("doc_id <=> component_id")
+    each = rows.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("component").isNull(), F.struct("doc_id", "text_key"))
+    least = each.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "text_key", "n")).alias("o"))
+    found = stored(least.select(F.col("o.doc_id").alias("_d"), F.col("o.text_key").alias("_k"), F.col("o.n").alias("_n")), "least")
     rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(found, (F.col("_key") == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("_d")), "left_semi").drop("_key")
+    out = rows.join(found, (F.col("_key") == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
+    if not found.where("_n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_key"])
+    return out.drop("_key")
 
 
 def op9_near_duplicates(spark, sf_dir) -> DataFrame:

@@ -270,6 +270,18 @@ def test_near_duplicates(spark, odd, none, small, size, percent):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_document_of_each_component_stays(spark):
+    """Repeated rows, equal ids with different near-duplicate texts, null ids, texts without words."""
+    text = lambda p, more="": " ".join(f"{p}{i}" for i in range(100)) + more
+    rows_ = [(1, text("a")), (1, text("a")), (1, text("a", " end")), (2, text("a")), (3, text("b")), (3, text("b")), (3, text("c"))]
+    rows_ += [(None, text("d")), (None, text("d")), (None, text("d", " end")), (None, text("e")), (9, text("e", " end")), (4, ""), (4, None), (5, " ")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    key = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    least = lambda p: min(text(p), text(p, " end"), key=key.get)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in neardup.drop_near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, least("a")), (3, text("b")), (3, text("c")), (None, least("d")), (9, text("e", " end")), (4, ""), (5, " ")], key=repr)
+
+
 def test_chains_and_crowds(spark):
     """Links that no least node sees, and a crowd of near copies of one text."""
     base = [f"w{i}" for i in range(120)]
