@@ -133,12 +133,12 @@ def slice_ids(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.nda
     return expand(symbols[a:b], base, rules, lengths)[skip : skip + max(0, stop - start)]
 
 
-_words: dict[tuple[str, str], tuple] = {}
+_words: dict[tuple[str, str, bool], tuple] = {}
 
 
-def _encoder(path: str, pattern: str):
-    """The library's ids of a text, by distinct pre-token: it splits with the same pattern."""
-    if (path, pattern) not in _words:
+def _encoder(path: str, pattern: str, literal: bool):
+    """The library's ids of a text, by distinct pre-token: it splits with the same pattern, once the added tokens are cut out."""
+    if (path, pattern, literal) not in _words:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,26 +146,35 @@ def _encoder(path: str, pattern: str):
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
-        tool.encode_special_tokens = True
-        _words[path, pattern] = (tool, regex.compile(pattern).findall, {})
-    return _words[path, pattern]
+        tool.encode_special_tokens = literal
+        added = [t.content for t in tool.get_added_tokens_decoder().values() if not (literal and t.special)]
+        _words[path, pattern, literal] = (tool, regex.compile(pattern).findall, {}, added)
+    return _words[path, pattern, literal]
 
 
-def _encode_batch(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
-    tool, split, known = _encoder(path, pattern)
-    pieces = [split(t) for t in texts]
+def _encode_batch(texts: list[str], path: str, pattern: str, literal: bool) -> list[np.ndarray]:
+    tool, split, known, added = _encoder(path, pattern, literal)
+    # a text with an added token goes to the library whole
+    whole = [any(a in t for a in added) for t in texts]
+    pieces = [[] if w else split(t) for t, w in zip(texts, whole, strict=True)]
     if len(known) > MAX_WORDS:
         known.clear()
     new = list(set(chain.from_iterable(pieces)) - known.keys())
     for word, code in zip(new, tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
         known[word] = np.array(code.ids, np.int32).tobytes()
     end = np.array([END_ID], np.int32).tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, np.int32) for p in pieces]
+    out = [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, np.int32) for p in pieces]
+    for k in np.flatnonzero(whole).tolist():
+        out[k] = np.array([*tool.encode(texts[k], add_special_tokens=False).ids, END_ID], np.int32)
+    return out
 
 
-def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, shards: int | None = None, block_ids: int = BLOCK_IDS, literal: bool = True) -> DataFrame:
     """Encode, compress and write; returns the blocks as read back.
 
+    With ``literal`` a special token that a text spells out is encoded as text;
+    without, it becomes its own id, as the library does as loaded.
+
     The texts are shuffled once, by ranges of the id; ids never are.
     """
     spark = docs.sparkSession
@@ -193,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | N
             schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("base", pa.int32()), *((c, pa.binary()) for c in ("symbols", "rules", "lengths", "heads", "sizes")), ("doc_ids", pa.list_(batch.schema.field(1).type))])
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for name, ids in zip(part.column(1).to_pylist(), _encode_batch([t or "" for t in part.column(2).to_pylist()], path, pattern), strict=True):
+                for name, ids in zip(part.column(1).to_pylist(), _encode_batch([t or "" for t in part.column(2).to_pylist()], path, pattern, literal), strict=True):
                     held.append(ids)
                     names.append(name)
                     total += len(ids)
@@ -267,7 +276,7 @@ def _starts(spark: SparkSession, blocks: DataFrame) -> DataFrame:
 
 
 def op3_repair_shards(spark, sf_dir) -> DataFrame:
-    return summarize(write_shards(table(spark, sf_dir, "documents")))
+    return summarize(write_shards(table(spark, sf_dir, "documents"), literal=False))
 
 
 QUERIES = {"op3_repair_shards": op3_repair_shards}

@@ -124,6 +124,22 @@ def test_repair_round_trip(odd, none, block):
     assert repair.summarize(repair.write_shards(none, shards=2)).count() == 0
 
 
+def test_repair_query_encodes_as_the_library_loaded(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(env_path(repair.DEFAULT_TOKENIZER))
+    more = spark.createDataFrame([(90, "hello <|endoftext|> x"), (91, "<|endoftext|><|endoftext|>  y <|endoftext"), (92, "after")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    start, want = 0, set()
+    for i, t in sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+        assert i != 90 or ids == [31373, 220, 50256, 2124, 0]
+        want.add((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert {(r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in repair.op3_repair_shards(spark, str(tmp_path)).collect()} == want
+
+
 def test_repair_compresses_and_slices():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 40, 60_000).astype(np.int32)
