@@ -38,15 +38,66 @@ from .common import env_path, stored, table
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 21
-ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 6, 2048, 16
+PAIRS_A_ROUND, MIN_COUNT = 2048, 16
 BUCKETS = 1 << 20
+#: Places up to which a round counts pairs one by one instead of by bucket.
+FEW = 1 << 17
 MAX_WORDS = 500_000
 
 BLOCK = "shard int, block int, n_ids long, base int, symbols binary, rules binary, lengths binary, heads binary, sizes binary, doc_ids array<{id}>"
 
 
-def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint32) * np.uint32(2654435761)) ^ (b.astype(np.uint32) * np.uint32(40503))) >> np.uint32(12)
+def _hash(a: np.ndarray, b: np.ndarray, turn: int = 0) -> np.ndarray:
+    """Buckets of pairs; other pairs meet in each turn."""
+    x = (a.astype(np.uint32) * np.uint32(2654435761)) ^ (b.astype(np.uint32) * np.uint32((40503 + 2 * 2246822519 * turn) & 0xFFFFFFFF))
+    return x >> np.uint32(12)
+
+
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of overlapping places every other one, from the left."""
+    fresh = np.r_[True, np.diff(at) != 1]
+    return (at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0
+
+
+def _by_bucket(a: np.ndarray, b: np.ndarray, at: np.ndarray, bucket: np.ndarray, counts: np.ndarray) -> tuple:
+    """``at, where, left, right``: places of one pair of each of the fullest buckets, the pair that occurs last."""
+    floor = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
+    chosen = np.flatnonzero(counts >= floor)
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen))
+    where = slot[bucket]
+    at, where = at[where >= 0], where[where >= 0]
+    left, right = np.empty(len(chosen), np.int32), np.empty(len(chosen), np.int32)
+    left[where], right[where] = a[at], b[at]
+    hit = (left[where] == a[at]) & (right[where] == b[at])
+    return at[hit], where[hit], left, right
+
+
+def _by_pair(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple:
+    """``at, where, left, right``: places of all pairs with MIN_COUNT of them, the most frequent pair first."""
+    pair, where, n = np.unique(a[at].astype(np.int64) << 32 | b[at], return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] >= MIN_COUNT]
+    slot = np.full(len(pair), -1, np.int32)
+    slot[order] = np.arange(len(order))
+    where = slot[where]
+    pair = pair[order]
+    return at[where >= 0], where[where >= 0], (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+
+
+def _in_turn(at: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs one after the other, each on the places that no pair before it took; those with MIN_COUNT of them."""
+    taken, out = np.zeros(n + 2, bool), [np.zeros(0, np.int64)]
+    order = np.argsort(where, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        mine = at[part]
+        mine = mine[~(taken[mine] | taken[mine + 1])]
+        mine = mine[_apart(mine)] if len(mine) else mine
+        if len(mine) >= MIN_COUNT:
+            taken[mine] = taken[mine + 1] = True
+            out.append(mine)
+    got = np.sort(np.concatenate(out))
+    return got, where[np.searchsorted(at, got)]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray | int]:
@@ -56,36 +107,29 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray | int]:
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes) - 1] = True
     rules: list[np.ndarray] = []
-    top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    top, turn, one_by_one = base, 0, False
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        bucket = _hash(a, b)
+        at = np.flatnonzero(~last[:-1])
+        bucket = _hash(a, b, turn)[at]
         counts = np.bincount(bucket, minlength=BUCKETS)
-        if counts.max() < MIN_COUNT:
-            break
-        floor = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        chosen = np.flatnonzero(counts >= floor)
-        slot = np.full(BUCKETS, -1, np.int32)
-        slot[chosen] = np.arange(len(chosen))
-        where = slot[bucket]
-        at = np.flatnonzero((where >= 0) & ~last[:-1])
-        where = where[at]
-        # of pairs that share a bucket one stands for it
-        left, right = np.empty(len(chosen), np.int32), np.empty(len(chosen), np.int32)
-        left[where], right[where] = a[at], b[at]
-        hit = (left[where] == a[at]) & (right[where] == b[at])
-        at, where = at[hit], where[hit]
+        full = counts[bucket] >= MIN_COUNT
+        few = one_by_one or np.count_nonzero(full) <= FEW
+        turn, one_by_one = turn + 1, False
+        at, where, left, right = _by_pair(a, b, at[full]) if few else _by_bucket(a, b, at, bucket, counts)
         if not len(at):
             break
-        # of overlapping places take every other one, from the left
-        fresh = np.r_[True, np.diff(at) != 1]
-        take = (at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0
-        at, where = at[take], where[take]
-        often = np.bincount(where, minlength=len(chosen)) >= MIN_COUNT
+        if few:
+            at, where = _in_turn(at, where, len(seq))
+            if not len(at):
+                break
+        else:
+            take = _apart(at)
+            at, where = at[take], where[take]
+        often = np.bincount(where, minlength=len(left)) >= MIN_COUNT
         if not often.any():
-            break
+            one_by_one = True
+            continue
         number = np.cumsum(often) - 1
         at, where = at[often[where]], number[where[often[where]]]
         seq = seq.copy()

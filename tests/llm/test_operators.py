@@ -151,6 +151,24 @@ def test_repair_compresses_and_slices():
     assert (repair.slice_ids(part, g["base"], g["rules"], g["lengths"], 777, 5000) == ids[10_777:15_000]).all()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    long = rng.integers(0, 50_000, 3000)
+    docs = [long] * 20 + [np.full(5000, 7), np.tile([1, 1, 2], 400), rng.integers(0, 30, 20_000), np.array([3])]
+    ids, sizes = np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs])
+    g = repair.compress(ids, sizes)
+    assert (repair.expand(g["symbols"], g["base"], g["rules"], g["lengths"]) == ids).all()
+    counts, end = defaultdict(int), {}
+    heads = [*g["heads"].tolist(), len(g["symbols"])]
+    for k in range(len(docs)):
+        part = g["symbols"][heads[k] : heads[k + 1]].tolist()
+        for i, pair in enumerate(zip(part, part[1:])):
+            if end.get(pair) != (k, i):
+                counts[pair] += 1
+                end[pair] = (k, i + 1)
+    assert max(counts.values()) < repair.MIN_COUNT and heads[1] == 1
+
+
 def test_decontamination_edges(odd, none, spark):
     bench = spark.createDataFrame([(1, "CAT sat on the mat and then the cat sat on"), (2, "short"), (3, None), (4, ""), (4, "lorem ipsum"), (None, "word")], "item_id long, text string")
     docs = odd.select("doc_id", "text")
