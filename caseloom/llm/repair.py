@@ -24,8 +24,7 @@ table has no blocks; further columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,137 +33,141 @@ from pyspark.sql import functions as F
 
 from .bpe import _pattern
 from .common import env_path, stored, table
+from .pretokens import Book, gathered, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 21
-PAIRS_A_ROUND, MIN_COUNT = 2048, 16
-BUCKETS = 1 << 20
-#: Places up to which a round counts pairs one by one instead of by bucket.
-FEW = 1 << 17
-MAX_WORDS = 500_000
+MIN_COUNT = 16
+#: Bits of the table that finds a chosen pair by its hash.
+BITS = 18
+#: Pre-tokens that a worker remembers.
+MAX_WORDS = 1_000_000
+#: Marks the last symbol of a document.
+LAST = np.int32(1 << 30)
 
 BLOCK = "shard int, block int, n_ids long, base int, symbols binary, rules binary, lengths binary, heads binary, sizes binary, doc_ids array<{id}>"
 
 
-def _hash(a: np.ndarray, b: np.ndarray, turn: int = 0) -> np.ndarray:
-    """Buckets of pairs; other pairs meet in each turn."""
-    x = (a.astype(np.uint32) * np.uint32(2654435761)) ^ (b.astype(np.uint32) * np.uint32((40503 + 2 * 2246822519 * turn) & 0xFFFFFFFF))
-    return x >> np.uint32(12)
-
-
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Of overlapping places every other one, from the left."""
-    fresh = np.r_[True, np.diff(at) != 1]
-    return (at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0
-
-
-def _by_bucket(a: np.ndarray, b: np.ndarray, at: np.ndarray, bucket: np.ndarray, counts: np.ndarray) -> tuple:
-    """``at, where, left, right``: places of one pair of each of the fullest buckets, the pair that occurs last."""
-    floor = max(MIN_COUNT, int(np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-    chosen = np.flatnonzero(counts >= floor)
-    slot = np.full(BUCKETS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    where = slot[bucket]
-    at, where = at[where >= 0], where[where >= 0]
-    left, right = np.empty(len(chosen), np.int32), np.empty(len(chosen), np.int32)
-    left[where], right[where] = a[at], b[at]
-    hit = (left[where] == a[at]) & (right[where] == b[at])
-    return at[hit], where[hit], left, right
-
-
-def _by_pair(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple:
-    """``at, where, left, right``: places of all pairs with MIN_COUNT of them, the most frequent pair first."""
-    pair, where, n = np.unique(a[at].astype(np.int64) << 32 | b[at], return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    order = order[n[order] >= MIN_COUNT]
-    slot = np.full(len(pair), -1, np.int32)
-    slot[order] = np.arange(len(order))
-    where = slot[where]
-    pair = pair[order]
-    return at[where >= 0], where[where >= 0], (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
-
-
-def _in_turn(at: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs one after the other, each on the places that no pair before it took; those with MIN_COUNT of them."""
-    taken, out = np.zeros(n + 2, bool), [np.zeros(0, np.int64)]
-    order = np.argsort(where, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-        mine = at[part]
-        mine = mine[~(taken[mine] | taken[mine + 1])]
-        mine = mine[_apart(mine)] if len(mine) else mine
-        if len(mine) >= MIN_COUNT:
-            taken[mine] = taken[mine + 1] = True
-            out.append(mine)
-    got = np.sort(np.concatenate(out))
-    return got, where[np.searchsorted(at, got)]
+def _frequent(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (-1 is none) with MIN_COUNT places and their numbers, the rarest first."""
+    order = np.sort(code)
+    first = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+    n = np.diff(np.r_[first, len(order)])
+    often = (n >= MIN_COUNT) & (order[first] >= 0)
+    pair, n = order[first[often]], n[often]
+    rank = np.argsort(n, kind="stable")
+    return pair[rank], n[rank]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray | int]:
-    """Re-Pair of documents laid end to end; ``sizes`` are their numbers of ids."""
+    """Re-Pair of documents laid end to end; ``sizes`` are their numbers of ids.
+
+    A round counts all pairs exactly (of a run of one symbol every other place) and
+    replaces each pair that is frequent wherever no more frequent pair overlaps it;
+    so the most frequent pair is replaced everywhere, and the rounds end when no
+    pair has MIN_COUNT places.  Only new neighbours and pairs that were frequent can
+    be frequent, so later rounds look at these places alone.
+    """
     seq = ids.astype(np.int32)
     base = int(seq.max()) + 1 if len(seq) else 1
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(sizes) - 1] = True
+    seq[np.cumsum(sizes)[np.asarray(sizes) > 0] - 1] |= LAST
     rules: list[np.ndarray] = []
-    top, turn, one_by_one = base, 0, False
-    while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
-        at = np.flatnonzero(~last[:-1])
-        bucket = _hash(a, b, turn)[at]
-        counts = np.bincount(bucket, minlength=BUCKETS)
-        full = counts[bucket] >= MIN_COUNT
-        few = one_by_one or np.count_nonzero(full) <= FEW
-        turn, one_by_one = turn + 1, False
-        at, where, left, right = _by_pair(a, b, at[full]) if few else _by_bucket(a, b, at, bucket, counts)
-        if not len(at):
+    top, at, turn = base, np.arange(max(len(seq) - 1, 0)), 0
+    while len(at):
+        a, b = (seq[:-1], seq[1:]) if len(at) == len(seq) - 1 else (seq[at], seq[at + 1])
+        b = b & ~LAST
+        code = a.astype(np.int64) << 32 | b
+        same = np.flatnonzero(a == b)
+        if len(same):
+            # of a run of equal symbols every other place, from the left
+            place = at[same]
+            head = np.flatnonzero(np.r_[True, np.diff(place) != 1])
+            first = np.repeat(place[head], np.diff(np.r_[head, len(place)]))
+            code[same[(place - first) % 2 == 1]] = -1
+        code[a >= LAST] = -1  # no pair crosses the end of a document
+        pair, n = _frequent(code)
+        if not len(pair):
             break
-        if few:
-            at, where = _in_turn(at, where, len(seq))
-            if not len(at):
-                break
+        turn += 1
+        mult = np.int64((0x9E3779B97F4A7C15 + 0x5851F42D4C957F2E * turn | 1) & ((1 << 63) - 1))
+        bucket = lambda x: (x * mult).view(np.uint64) >> np.uint64(64 - BITS)  # noqa: E731, B023
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[bucket(pair)] = np.arange(len(pair), dtype=np.int32)  # the most frequent pair of a bucket; the others wait for the next round
+        which = slot[bucket(code)]
+        some = np.flatnonzero(which >= 0)
+        wait, which = at[some], which[some]  # may still be frequent after this round
+        hit = np.flatnonzero(pair[which] == code[some])
+        at, which = wait[hit], which[hit]
+        # a place stands if its pair is more frequent than those that overlap it
+        near, more = np.diff(at) == 1, which[1:] > which[:-1]
+        stand = np.ones(len(at), bool)
+        stand[:-1] &= ~(near & more)
+        stand[1:] &= ~(near & ~more)
+        at, which = at[stand], which[stand]
+        often = np.bincount(which, minlength=len(pair)) >= MIN_COUNT
+        if not often.all():
+            keep = np.flatnonzero(often[which])
+            at, which, pair = at[keep], (np.cumsum(often) - 1)[which[keep]].astype(np.int32), pair[often]
+        seq[at] = (which + np.int32(top)) | (seq[at + 1] & LAST)
+        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1).astype(np.int32))
+        top += len(pair)
+        # what may be frequent now: what was, and the new symbols with their neighbours
+        gone = at + 1
+        if len(wait) * 8 > len(seq):
+            stay, live = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+            stay[gone] = False
+            live[wait] = live[at] = True
+            live[at[at > 0] - 1] = True
+            # a neighbour that is itself gone stands for the symbol before it
+            live[at[(at > 1) & ~stay[at - 1]] - 2] = True
+            at = np.flatnonzero(live[stay][:-1])
+            seq = seq[stay]
         else:
-            take = _apart(at)
-            at, where = at[take], where[take]
-        often = np.bincount(where, minlength=len(left)) >= MIN_COUNT
-        if not often.any():
-            one_by_one = True
-            continue
-        number = np.cumsum(often) - 1
-        at, where = at[often[where]], number[where[often[where]]]
-        seq = seq.copy()
-        seq[at] = top + where
-        last[at] |= last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([left[often], right[often]], 1))
-        top += int(often.sum())
+            before = at - 1
+            before = before - np.isin(before, gone, assume_unique=True)
+            live = np.unique(np.concatenate([wait, at, before[before >= 0]]))
+            skip = np.searchsorted(gone, live)
+            live = live[gone[np.minimum(skip, len(gone) - 1)] != live]
+            at = live - np.searchsorted(gone, live)
+            seq = np.delete(seq, gone)
+            at = at[at < len(seq) - 1]
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
-    lengths = np.ones(top, np.int32)
-    for k, (x, y) in enumerate(rule.tolist()):
-        lengths[base + k] = lengths[x] + lengths[y]
+    last = seq >= LAST
     heads = np.r_[0, np.flatnonzero(last)[:-1] + 1].astype(np.int32) if len(seq) else np.zeros(0, np.int32)
-    return {"base": base, "symbols": seq, "rules": rule, "lengths": lengths[base:], "heads": heads}
+    width = _widths(base, rule)
+    return {"base": base, "symbols": seq & ~LAST, "rules": rule, "lengths": width[base:].astype(np.int32), "heads": heads}
+
+
+def _rounds(base: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rules that refer to symbols before the run only."""
+    most, begin = rules.max(1) if len(rules) else np.zeros(0), 0
+    while begin < len(rules):
+        later = most[begin:] >= base + begin
+        end = begin + int(later.argmax()) if later.any() else len(rules)
+        yield begin, end
+        begin = end
+
+
+def _widths(base: int, rules: np.ndarray) -> np.ndarray:
+    width = np.ones(base + len(rules), np.int64)
+    for begin, end in _rounds(base, rules):
+        width[base + begin : base + end] = width[rules[begin:end]].sum(1)
+    return width
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The ids of some symbols; rules refer to earlier ones only."""
     width = np.ones(base + len(rules), np.int64)
     width[base:] = lengths
-    begin = np.zeros(len(width) + 1, np.int64)
-    np.cumsum(width, out=begin[1:])
-    flat = np.zeros(begin[-1], np.int32)
-    flat[:base] = np.arange(base)
-    for k, (x, y) in enumerate(rules.tolist()):
-        at = begin[base + k]
-        flat[at : at + width[x]] = flat[begin[x] : begin[x] + width[x]]
-        flat[at + width[x] : at + width[x] + width[y]] = flat[begin[y] : begin[y] + width[y]]
-    n = width[symbols]
-    ends = np.cumsum(n)
-    if not len(ends):
-        return np.zeros(0, np.int32)
-    return flat[np.arange(ends[-1]) - np.repeat(ends - n - begin[symbols], n)]
+    begin = np.cumsum(width) - width
+    flat = np.arange(int(width.sum()), dtype=np.int32)
+    for i, j in _rounds(base, rules):
+        part = rules[i:j].ravel()
+        to = begin[base + i]
+        got = gathered(flat, begin[part], width[part])
+        flat[to : to + len(got)] = got
+    return gathered(flat, begin[symbols], width[symbols])
 
 
 def slice_ids(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -177,40 +180,60 @@ def slice_ids(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.nda
     return expand(symbols[a:b], base, rules, lengths)[skip : skip + max(0, stop - start)]
 
 
-_words: dict[tuple[str, str, bool], tuple] = {}
+_tools: dict[tuple[str, str, bool], Callable[[list[str]], list[np.ndarray]]] = {}
 
 
-def _encoder(path: str, pattern: str, literal: bool):
-    """The library's ids of a text, by distinct pre-token: it splits with the same pattern, once the added tokens are cut out."""
-    if (path, pattern, literal) not in _words:
-        import os
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 as it is, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        tool.encode_special_tokens = literal
-        added = [t.content for t in tool.get_added_tokens_decoder().values() if not (literal and t.special)]
-        _words[path, pattern, literal] = (tool, regex.compile(pattern).findall, {}, added)
-    return _words[path, pattern, literal]
+def _encoder(path: str, pattern: str, literal: bool) -> Callable[[list[str]], list[np.ndarray]]:
+    """The library's ids of texts, each with the end id.
 
-
-def _encode_batch(texts: list[str], path: str, pattern: str, literal: bool) -> list[np.ndarray]:
-    tool, split, known, added = _encoder(path, pattern, literal)
-    # a text with an added token goes to the library whole
-    whole = [any(a in t for a in added) for t in texts]
-    pieces = [[] if w else split(t) for t, w in zip(texts, whole, strict=True)]
-    if len(known) > MAX_WORDS:
-        known.clear()
-    new = list(set(chain.from_iterable(pieces)) - known.keys())
-    for word, code in zip(new, tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = np.array(code.ids, np.int32).tobytes()
-    end = np.array([END_ID], np.int32).tobytes()
-    out = [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, np.int32) for p in pieces]
-    for k in np.flatnonzero(whole).tolist():
-        out[k] = np.array([*tool.encode(texts[k], add_special_tokens=False).ids, END_ID], np.int32)
-    return out
+    The library's model encodes distinct pre-tokens; a text with an added token goes to the library whole.
+    """
+    if (path, pattern, literal) in _tools:
+        return _tools[path, pattern, literal]
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.encode_special_tokens = literal
+    added = [t.content for t in tool.get_added_tokens_decoder().values() if not (literal and t.special)]
+    tokenize, characters = tool.model.tokenize, _byte_characters()
+
+    def by_model(words: list[str]) -> list[np.ndarray]:
+        mapped = (w.encode().decode("latin-1").translate(characters) for w in words)
+        return [np.array([t.id for t in tokenize(w)], np.int32) for w in mapped]
+
+    def by_library(words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tool.encode_batch_fast(words, add_special_tokens=False)]
+
+    probe = ["a", " the", "The", "  ", "\n", " \t", "é", " ñandú", "١٢", " 123", "!?", "'ll", " straße", "🙂", "\u00ad", "\x7f", " 日本語"]
+    try:
+        alike = all((x == y).all() if len(x) == len(y) else False for x, y in zip(by_model(probe), by_library(probe), strict=True))
+    except Exception:  # a model of another kind
+        alike = False
+    book = Book(pattern, by_model if alike else by_library, MAX_WORDS)
+    end = np.array([END_ID], np.int32)
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        whole = [any(a in t for a in added) for t in texts]
+        out = []
+        for ids, ends, _ in book.of(["" if w else t for w, t in zip(whole, texts, strict=True)]):
+            out += [np.append(x, end) for x in np.split(ids, ends[:-1])]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array([*tool.encode(texts[k], add_special_tokens=False).ids, END_ID], np.int32)
+        return out
+
+    _tools.clear()  # one book a worker
+    _tools[path, pattern, literal] = encode
+    return encode
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, shards: int | None = None, block_ids: int = BLOCK_IDS, literal: bool = True) -> DataFrame:
@@ -230,6 +253,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, total, block, shard = [], [], 0, 0, 0
+        encode = _encoder(path, pattern, literal)
 
         def close() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in held], np.int64)
@@ -244,9 +268,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, pattern: str | N
                 continue
             shard = batch.column(0)[0].as_py()
             schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("base", pa.int32()), *((c, pa.binary()) for c in ("symbols", "rules", "lengths", "heads", "sizes")), ("doc_ids", pa.list_(batch.schema.field(1).type))])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for name, ids in zip(part.column(1).to_pylist(), _encode_batch([t or "" for t in part.column(2).to_pylist()], path, pattern, literal), strict=True):
+            for part in slices(batch, 2):
+                for name, ids in zip(part.column(1).to_pylist(), encode([t or "" for t in part.column(2).to_pylist()]), strict=True):
                     held.append(ids)
                     names.append(name)
                     total += len(ids)
