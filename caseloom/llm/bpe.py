@@ -18,7 +18,7 @@ input are not read, so their names cannot clash.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import env_path, table
+from .pretokens import Book, gathered, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens (of two generations each) and states that a worker remembers.
-MAX_WORDS, MAX_STATES = 250_000, 150_000
+#: Pre-tokens, states and pairs that a worker remembers.
+MAX_WORDS, MAX_STATES, MAX_PAIRS = 1_000_000, 150_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +94,7 @@ class Transducer:
         pair = (left, token)
         known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) > 300_000:
+            if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
             try:
                 self._split(token)
@@ -146,18 +147,42 @@ class Transducer:
 
 
 class Utf8Stream:
-    """Incremental decoding: ``feed`` returns the bytes that end at a code point, the rest waits.
+    """An incremental UTF-8 state machine: ``feed`` returns the code points that are complete, the rest waits.
 
-    The state is the number of continuation bytes still due; a malformed byte
-    ends its sequence at once, so nothing is ever lost or reordered.
+    The state is the number of continuation bytes still due and the bounds of the
+    next one.  A byte that fits no sequence ends the open one at once; it and the
+    bytes held so far come out as lone surrogates (U+DC80 on), so that encoding with
+    ``surrogateescape`` gives the bytes back.
     """
 
     def __init__(self):
-        self.rest = b""
+        self.held, self.due, self.low, self.high = b"", 0, 0x80, 0xBF
+
+    def _step(self, byte: int) -> str:
+        out = ""
+        if self.due:
+            if self.low <= byte <= self.high:
+                self.held, self.due, self.low, self.high = self.held + bytes((byte,)), self.due - 1, 0x80, 0xBF
+                return "" if self.due else self._take()
+            out = self._take()
+        if byte < 0x80:
+            return out + chr(byte)
+        if not 0xC2 <= byte <= 0xF4:
+            return out + chr(0xDC00 + byte)
+        self.held, self.due = bytes((byte,)), 1 + (byte >= 0xE0) + (byte >= 0xF0)
+        self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(byte, 0x80)
+        self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(byte, 0xBF)
+        return out
+
+    def _take(self) -> str:
+        """The held bytes: a code point, or malformed ones."""
+        held, whole = self.held, not self.due
+        self.held, self.due, self.low, self.high = b"", 0, 0x80, 0xBF
+        return held.decode() if whole else "".join(chr(0xDC00 + b) for b in held)
 
     @staticmethod
     def _open(tail: bytes) -> int:
-        """Length of an unfinished sequence at the end of ``tail``."""
+        """Length of a sequence that may go on after the end of ``tail``."""
         for back in range(1, min(3, len(tail)) + 1):
             byte = tail[-back]
             if byte & 0xC0 == 0x80:
@@ -166,57 +191,52 @@ class Utf8Stream:
             return back if due > back else 0
         return 0
 
-    def feed(self, data: bytes) -> bytes:
-        data = self.rest + data
-        cut = len(data) - self._open(data[-3:])
-        self.rest = data[cut:]
-        return data[:cut]
+    def feed(self, data: bytes) -> str:
+        out, at = [], 0
+        while self.due and at < len(data):
+            out.append(self._step(data[at]))
+            at += 1
+        end = len(data) - self._open(data[max(at, len(data) - 3) :])
+        try:
+            out.append(data[at:end].decode())  # the machine's runs from code point to code point, at once
+        except UnicodeDecodeError:
+            out += map(self._step, data[at:end])
+        out += map(self._step, data[end:])
+        return "".join(out)
 
-    def close(self) -> bytes:
-        rest, self.rest = self.rest, b""
-        return rest
+    def close(self) -> str:
+        return self._take()
 
 
 class Codec:
     """Encoder and decoder of one rank file; remembers frequent pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
-        self.split = regex.compile(pattern).findall
         ranks = load_ranks(path)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        by_rank = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            by_rank[rank] = token
+        self.bytes = np.frombuffer(b"".join(by_rank), np.uint8)
+        self.size = np.array([len(t) for t in by_rank])
+        self.start = np.cumsum(self.size) - self.size
         machine = Transducer(ranks)
+        self.book = Book(pattern, lambda words: [np.array(machine.encode(w.encode()), np.int32) for w in words], MAX_WORDS)
 
-        class Words(dict):
-            """Ids of pre-tokens as bytes; the generation before is asked when a word is missing."""
-
-            def __missing__(self, word):
-                ids = self.old.get(word)
-                if ids is None:
-                    ids = np.array(machine.encode(word.encode()), np.int32).tobytes()
-                if len(self) >= MAX_WORDS:
-                    self.old = dict(self)
-                    self.clear()
-                self[word] = ids
-                return ids
-
-        self.words = Words()
-        self.words.old = {}
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``ids, ends`` of slices of the texts, in order."""
+        for ids, ends, _ in self.book.of(texts):
+            yield ids, ends
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.int32)
-
-    def stream(self, ids: Iterable[int], size: int = 1 << 16) -> Iterator[bytes]:
-        state, ids = Utf8Stream(), ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+    def stream(self, ids: np.ndarray, size: int = 1 << 16) -> Iterator[str]:
+        """The text of ids as it becomes complete."""
+        state = Utf8Stream()
         for i in range(0, len(ids), size):
-            yield state.feed(b"".join(map(self.bytes_of.__getitem__, ids[i : i + size])))
+            part = ids[i : i + size]
+            yield state.feed(gathered(self.bytes, self.start[part], self.size[part]).tobytes())
         yield state.close()
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(self.stream(ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return "".join(self.stream(ids)).encode("utf-8", "surrogateescape")
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -245,15 +265,15 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
         for batch in batches:
-            for part in _slices(batch):
-                found = [tool.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) for x in found], out=ends[1:])
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                if decoded:
-                    cols.append(pa.array([tool.decode(x) for x in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for part in slices(batch):
+                at = 0
+                for ids, ends in tool.encode([t or "" for t in part.column(1).to_pylist()]):
+                    edges = np.r_[0, ends].astype(np.int32)
+                    cols = [part.column(0).slice(at, len(ends)), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))]
+                    if decoded:
+                        cols.append(pa.array([tool.decode(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary()))
+                    at += len(ends)
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "ids", *["decoded"] * decoded]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -267,26 +287,13 @@ def decode_documents(ids: DataFrame, ranks: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
         for batch in batches:
-            out = pa.array([tool.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())
+            out = pa.array([tool.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), out], ["doc_id", "decoded"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of about ``chars`` bytes of text, a document never split."""
-    sizes = np.diff(np.frombuffer(batch.column(1).cast(pa.large_string()).buffers()[1], np.int64, batch.num_rows + 1, batch.column(1).offset * 8)) if batch.num_rows else np.zeros(0)
-    begin = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > chars:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += n
-    if batch.num_rows > begin:
-        yield batch.slice(begin)
-
-
 def digest(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id",

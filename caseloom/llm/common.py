@@ -65,9 +65,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; looks at no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` of strings and lists; looks at no more rows than that."""
+    wide = [c for c, t in df.dtypes if t in ("string", "binary")]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0).cast("long"))
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))), size)
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return row["n"] <= max_rows and row["size"] <= max_bytes
+
+
+def hinted(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is small enough; ``df`` should be cheap to read twice."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
 def env_path(name: str) -> str:

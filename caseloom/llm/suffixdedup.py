@@ -1,25 +1,30 @@
-"""Removal of long repeated byte strings by a family of sparse suffix arrays.
+"""Removal of long repeated byte strings by a logarithmic family of sparse suffix arrays.
 
 A string of 200 bytes that occurs twice holds, at the same place in both, the
 least 56-byte string (by hash, the leftmost of equal ones) of its 145.  So it is
 enough to keep the suffixes that begin at such anchors, one in about 73 bytes.
 
-* Each Arrow batch of a task becomes a suffix array of its anchors, sorted by the
-  hash of the first 56 bytes and of the block, which is the union of the 200-byte
-  windows that have this anchor.  It is merge-scanned against the levels that the
-  task holds, equal blocks collapse into a count, and levels of equal size merge,
-  so that a task holds a logarithmic number of them.  Their sorted rows go out as
-  the task's part of the index; Spark merges the parts of all tasks by key.
-* An anchor that occurs once has no repeated window.  If its whole block occurs
-  again, all its windows are repeated.  What is left are the edges of repeated
-  passages: blocks that occur once while their anchor occurs elsewhere.  Only for
-  keys with such a block, the windows of its distinct blocks are compared: in one
-  task for MAX_GROUP blocks at most, else as rows that are counted by hash.
+* A suffix array holds the distinct anchors of a batch of documents, sorted by
+  their first 8 bytes and, where these are equal, by the hash of all 56, with their
+  numbers.  Equal anchors are neighbours and nothing else of the order is needed.
+* ``IndexFamily`` is a list of such arrays, its levels, as sorted tables in the
+  shared folder.  A new batch gets its array, is merge-scanned (a sort-merge join)
+  against the levels, and the anchors that the scan meets, or that the batch holds
+  twice, come out as its matches.  Before the next batch levels of equal size are
+  merged, so that n batches leave log n levels and each anchor is written log n
+  times.  A table is added in ``BATCHES`` batches by the hash of the text.
+* Only matched anchors go on.  A block is the union of the 200-byte windows that
+  have one anchor.  If a whole block occurs again, all its windows are repeated.
+  What is left are the edges of repeated passages: blocks that occur once while
+  their anchor occurs elsewhere.  Only for anchors with such a block, the windows
+  of its distinct blocks are compared: in one task for MAX_GROUP blocks at most,
+  else as rows that are counted by hash.
 * All windows of a block hold its anchor, so their union is one interval; the
   intervals of a document are merged and cut.
 
 Every count is a partial sum before the shuffle and every join is of one row
 against many, so a passage in a third of all documents loads no single task.
+Texts are hashed in segments of SEGMENT bytes, whatever their length.
 
 Defined results: a null or empty text keeps nothing and loses nothing; texts below
 200 bytes stay; a repeated row is an occurrence of its own, so both rows lose their
@@ -30,19 +35,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_enough, stored, table
-from .hashing import prefix_sums, ranges
+from .common import hinted, keyed, small_enough, stored, table
+from .hashing import mix, powers, prefix_sums, ranges
+from .pretokens import slices
 
 LENGTH, CORE = 200, 56
+#: Batches in which a table is added to the family.
+BATCHES = 4
+#: Bytes that are hashed at a time.
+SEGMENT = 1 << 18
 #: Distinct blocks of a key that one task compares (some 300 bytes each); larger groups are spread.
 MAX_GROUP = 4096
-#: Documents (two numbers each) up to which a set of them is broadcast, after a count.
+#: Rows up to which a set of documents or of anchors (two numbers each) is broadcast, after a count.
 BROADCAST_ROWS = 500_000
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -55,100 +66,108 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[width - size : width - size + n])
 
 
-def blocks_of(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """``key, block, first, span`` of each anchor: the windows that start at first .. first + span have it."""
-    if len(data) < length:
+def _blocks(data: np.ndarray, ends: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
+    """``head, key, block, first, span`` of each anchor of the texts that end at ``ends``: the windows that start at first .. first + span have it."""
+    sums, (_, inverse) = prefix_sums(data), powers(len(data) + 1)
+    h = mix((sums[core:] - sums[:-core]) * inverse[: len(data) - core + 1] + np.uint64(core))
+    order = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
+    anchor = _sliding_min(order, length - core + 1)
+    whole = np.ones(len(anchor), bool)
+    for end in ends[ends < len(data)].tolist():  # windows across two texts are none
+        whole[max(0, end - length + 1) : end] = False
+    starts = np.flatnonzero(whole)
+    anchor = (anchor[starts] & LOW).astype(np.int64)
+    if not len(starts):
         none = np.zeros(0, np.uint64)
-        return none, none, none.astype(np.int32), none.astype(np.int32)
-    sums = prefix_sums(data)
-    at = np.arange(len(data) - core + 1)
-    h = ranges(sums, at, at + core)
-    order = (h & ~LOW) | at.astype(np.uint64)
-    anchor = (_sliding_min(order, length - core + 1) & LOW).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    final = np.r_[first[1:] - 1, len(anchor) - 1]
-    pos = anchor[first]
+        return none.view(np.int64), none, none, none.view(np.int64), none.view(np.int64)
+    fresh = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    first, final = starts[fresh], starts[np.r_[fresh[1:] - 1, len(starts) - 1]]
+    pos = anchor[fresh]
     block = ranges(sums, first, final + length) ^ (pos - first).astype(np.uint64)
-    return h[pos], block, first.astype(np.int32), (final - first).astype(np.int32)
+    head = data[pos[:, None] + np.arange(8)].copy().view(">u8")[:, 0].astype(np.uint64)
+    return (head ^ np.uint64(1 << 63)).view(np.int64), h[pos], block, first, final - first
+
+
+def blocks_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, core: int = CORE) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_blocks`` of texts end to end, by segments; the last block of a segment begins the next one, so it is never cut."""
+    at = 0
+    while len(data) - at >= length:
+        stop = min(len(data), at + max(SEGMENT, 4 * length))
+        found = _blocks(data[at:stop], ends - at, length, core) if at == 0 else _blocks(data[at:stop], ends[np.searchsorted(ends, at, "right") :] - at, length, core)
+        if stop == len(data):
+            more = stop
+        elif len(found[0]):
+            more = at + int(found[3][-1])
+            if more > at:
+                found = tuple(x[:-1] for x in found)
+            else:
+                more = stop - length + 1
+        else:
+            more = stop - length + 1
+        yield (*found[:3], found[3] + at, found[4])
+        at = more
 
 
 class IndexFamily:
-    """Levels of (key, block, count, row of the first occurrence), each sorted; sizes grow geometrically."""
+    """Levels of suffix arrays ``head, key, n`` with their sizes, the largest first."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []
-        self.rows: list = []
+        self.levels: list[tuple[DataFrame, int]] = []
 
     @staticmethod
-    def _sorted(key, block, count, row) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((row, block, key))
-        key, block, count, row = key[order], block[order], count[order], row[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])] if len(key) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        return key[start], block[start], np.add.reduceat(count, start) if len(start) else count, row[start]
-
-    def scan(self, key: np.ndarray) -> np.ndarray:
-        """Which keys of a new batch stand in some level."""
-        hit = np.zeros(len(key), bool)
-        for level in self.levels:
-            at = np.searchsorted(level[0], key)
-            at[at == len(level[0])] = 0
-            hit |= level[0][at] == key
-        return hit
-
-    def add(self, key: np.ndarray, block: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Add a batch; returns which of its suffixes match an existing level."""
-        hit = self.scan(key)
-        new = self._sorted(key, block, np.ones(len(key), np.int64), row)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            new = self._sorted(*(np.concatenate(x) for x in zip(self.levels.pop(), new, strict=True)))
-        self.levels.append(new)
-        return hit
-
-    def merged(self) -> tuple[np.ndarray, ...]:
-        if not self.levels:
-            none = np.zeros(0, np.uint64)
-            return none, none, none.astype(np.int64), none.astype(np.int64)
-        return self._sorted(*(np.concatenate(x) for x in zip(*self.levels, strict=True)))
+    def _array(suffixes: DataFrame) -> tuple[DataFrame, int]:
+        """Distinct suffixes in order, written and counted."""
+        out = suffixes.groupBy("head", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "key")
+        out = stored(out, "level")
+        return out, out.count()
+
+    def _merge(self) -> None:
+        """Levels of about equal size become one; so the next level is at least half as large again."""
+        while len(self.levels) > 1 and 2 * self.levels[-2][1] < 3 * self.levels[-1][1]:
+            (a, _), (b, _) = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._array(a.unionByName(b)))
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """Add a batch (``head, key, n``); returns its matches, the ``key`` of what it holds twice or a level holds too."""
+        self._merge()
+        new, size = self._array(suffixes)
+        found = new.where("n > 1").select("key")
+        if self.levels:
+            old = reduce(DataFrame.unionByName, [level.select("head", "key") for level, _ in self.levels])
+            found = found.unionByName(new.select("head", "key").join(old, ["head", "key"], "left_semi").select("key"))
+        self.levels.append((new, size))
+        self.levels.sort(key=lambda x: -x[1])
+        return stored(found.distinct(), "matches")
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """``doc_id, text_key, key, block, first, span`` of every anchor of every text."""
+    """``doc_id, text_key, head, key, block, first, span`` of every anchor of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "head", "key", "block", "first", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, which = [], []
-            for i, text in enumerate(batch.column(2)):
-                got = blocks_of(np.frombuffer(text.as_py().encode(), np.uint8), length, core)
-                if len(got[0]):
-                    found.append(got)
-                    which.append(np.full(len(got[0]), i))
-            if found:
-                key, block, first, span = (np.concatenate(x) for x in zip(*found, strict=True))
-                rows = pa.array(np.concatenate(which))
-                cols = [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (key.view(np.int64), block.view(np.int64), first, span))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "block", "first", "span"])
-
-    schema = f"doc_id {kind}, text_key long, key long, block long, first int, span int"
+            for part in slices(batch, 2):
+                texts = part.column(2).cast(pa.large_binary())
+                edges = np.frombuffer(texts.buffers()[1], np.int64, part.num_rows + 1, texts.offset * 8)
+                data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+                edges = edges - edges[0]
+                for head, key, block, first, span in blocks_of(data, edges[1:], length, core):
+                    which = np.searchsorted(edges, first, "right") - 1
+                    rows = pa.array(which)
+                    cols = [head, key.view(np.int64), block.view(np.int64), (first - edges[which]).astype(np.int32), span.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *map(pa.array, cols)], names)
+
+    schema = f"doc_id {kind}, text_key long, head long, key long, block long, first int, span int"
     return keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def index_parts(found: DataFrame) -> DataFrame:
-    """``key, block, n``: each task's merged family."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, n = IndexFamily(), 0
-        for batch in batches:
-            key, block = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            family.add(key, block, np.arange(n, n + len(key)))
-            n += len(key)
-        key, block, count, _ = family.merged()
-        for at in range(0, len(key), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(block[cut].view(np.int64)), pa.array(count[cut])], ["key", "block", "n"])
-
-    return found.select("key", "block").mapInArrow(run, "key long, block long, n long")
+def matched(found: DataFrame, batches: int = BATCHES, family: IndexFamily | None = None) -> DataFrame:
+    """``key`` of the anchors that occur more than once, as the family's scans of the batches of ``found`` meet them."""
+    family = family or IndexFamily()
+    each = found.select("head", "key", F.lit(1).cast("long").alias("n"), F.pmod("text_key", F.lit(batches)).alias("batch"))
+    met = [family.add(each.where(F.col("batch") == k).drop("batch")) for k in range(batches)]
+    return reduce(DataFrame.unionByName, met).distinct()
 
 
 def _of_docs(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -168,7 +187,7 @@ def _pieces(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     on = (rows["text_key"] == lists["text_key"]) & rows["doc_id"].eqNullSafe(lists["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 0)):
             for text, places in zip(batch.column(0), batch.column(1).cast(kind), strict=True):
                 data = text.as_py().encode()
                 key, block, first, span, n = places.values.flatten()
@@ -244,9 +263,8 @@ def _crowd_hits(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """``doc_id, text_key, spans``: sorted ``(start, end)`` byte intervals, which may overlap."""
     found = stored(anchors(docs, length, core), "anchors")
-    parts = index_parts(found)
-    keys = parts.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
-    shared = stored(found.join(keys, "key"), "shared")
+    keys = hinted(stored(matched(found), "keys"), BROADCAST_ROWS)
+    shared = stored(found.drop("head").join(keys, "key"), "shared")
 
     place = F.struct("doc_id", "text_key", "first", "span")
     blocks = stored(shared.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "blocks")
@@ -281,7 +299,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> Data
         joined = rows.join(marks, on, "left").select(*pick)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 2)):
             out = []
             for text, spans in zip(batch.column(2), batch.column(3), strict=True):
                 data = text.as_py().encode()

@@ -10,21 +10,23 @@ The model: pieces with a rank get the score -log(rank + 1) of Zipf's law, as
 the public rank files carry no probabilities; every single byte is a piece.
 
 Defined results: a null or empty text has no pre-tokens and no tokens; repeated
-rows are counted alike; further columns are not read.
+rows and rows that share an id are counted alike, each on its own; an empty table
+gives no rows; further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _pattern, load_ranks
 from .common import env_path, table
+from .pretokens import Book, slices
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 #: Nodes after which a worker starts a new trie; results do not depend on it.
@@ -96,15 +98,16 @@ def unigram_scores(path: str) -> dict[bytes, float]:
     return {piece: -math.log(rank + 1) for piece, rank in load_ranks(path).items()}
 
 
-_tries: dict[tuple[str, str], tuple] = {}
+_books: dict[tuple[str, str], Book] = {}
 
 
-def _trie(path: str, pattern: str):
-    if (path, pattern) not in _tries:
-        import regex
-
-        _tries[path, pattern] = (SharedTrie(unigram_scores(path)), regex.compile(pattern).findall, {})
-    return _tries[path, pattern]
+def _book(path: str, pattern: str) -> Book:
+    """Pieces of distinct pre-tokens, counted by a trie that the worker keeps."""
+    if (path, pattern) not in _books:
+        trie = SharedTrie(unigram_scores(path))
+        _books.clear()
+        _books[path, pattern] = Book(pattern, lambda words: [np.array([trie.count(w.encode())], np.int32) for w in words], MAX_NODES)
+    return _books[path, pattern]
 
 
 def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -112,21 +115,15 @@ def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None
     path, pattern = ranks or env_path(DEFAULT_RANKS), _pattern(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, split, counted = _trie(path, pattern)  # counted: pieces of distinct pre-tokens
+        book = _book(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                words = Counter(split(text.as_py() or ""))
-                for w in words:
-                    if w not in counted:
-                        counted[w] = trie.count(w.encode())
-                rows.append((sum(words.values()), sum(n * counted[w] for w, n in words.items())))
-                if len(counted) > MAX_NODES:
-                    counted.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), ())))],
-                ["doc_id", "n_pretokens", "n_tokens"],
-            )
+            for part in slices(batch):
+                at = 0
+                for counts, ends, n in book.of([t or "" for t in part.column(1).to_pylist()]):
+                    pieces = np.diff(np.r_[0, np.cumsum(counts, dtype=np.int64)][np.r_[0, ends]])
+                    cols = [part.column(0).slice(at, len(ends)), pa.array(n.astype(np.int64)), pa.array(pieces)]
+                    at += len(ends)
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pretokens", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")

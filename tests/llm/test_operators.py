@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import duck, rows, same  # noqa: E402
 
-from caseloom.llm import bpe, decontam, linededup, neardup, pii, quality, registry, repair, secrets, suffixdedup, tagger, tokens  # noqa: E402
+from caseloom.llm import bpe, decontam, linededup, neardup, pii, pretokens, quality, registry, repair, secrets, suffixdedup, tagger, tokens  # noqa: E402
 from caseloom.llm.common import env_path  # noqa: E402
 
 
@@ -62,11 +62,38 @@ def test_bpe_is_tiktoken(odd, none):
 
 
 def test_utf8_stream():
-    data = "aé🙂ß".encode() + b"\xff\xe2\x82"
+    rng = np.random.default_rng(8)
+    made = ["aé🙂ß".encode() + b"\xff\xe2\x82", b"\xe0\x80a\xed\xa0\x80\xf4\x90\x80\x80\xc0\xaf"]
+    made += [b"".join([["é".encode(), "🙂".encode(), b"a", bytes([b])][int(k)] for k, b in zip(rng.integers(0, 4, 30), rng.integers(0, 256, 30))]) for _ in range(300)]
+    for data in made:
+        for size in (1, 2, 7, 100):
+            stream = bpe.Utf8Stream()
+            parts = [stream.feed(data[i : i + size]) for i in range(0, len(data), size)]
+            text = "".join(parts) + stream.close()
+            assert text.encode("utf-8", "surrogateescape") == data and text == data.decode("utf-8", "surrogateescape")
     stream = bpe.Utf8Stream()
-    parts = [stream.feed(data[i : i + 1]) for i in range(len(data))]
-    assert b"".join(parts) + stream.close() == data
-    assert all(p.decode() for p in parts[:9] if p)
+    assert [stream.feed(bytes([b])) for b in "é🙂".encode()] == ["", "é", "", "", "", "🙂"]
+
+
+def test_pretokens_are_the_patterns(spark, small):
+    import public_tokenizers as P
+    import regex
+
+    split = regex.compile(P.PATTERN).findall
+    alphabet = [*" \n\t\r ' \u3000stremvldabcXé1²٣_-!.,\"🙂\u0301\0\x1c\x85\u00a0", "'s", "'ll", "'re", " '", "  "]
+    rng = np.random.default_rng(6)
+    made = [["".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(0, 40)))) for _ in range(5)] for _ in range(800)]
+    made.append([t or "" for _, t in texts(spark.read.parquet(f"{small}/documents.parquet"))])
+    made.append([chr(c) + "a" + chr(c) + " " + chr(c) + "1" for c in range(0, 0x110000, 97) if not 0xD800 <= c < 0xE000])
+    for group in made:
+        joined, _, start, end, n = pretokens.cut(group)
+        want = [split(t) for t in group]
+        assert n.tolist() == list(map(len, want))
+        assert [joined[a:b] for a, b in zip(start.tolist(), end.tolist())] == [w for ws in want for w in ws]
+    for book in (pretokens.Book(P.PATTERN, lambda ws: [np.array([len(w)] * 2, np.int32) for w in ws], 50), pretokens.Book(r"\S+|\s+", lambda ws: [np.array([len(w)] * 2, np.int32) for w in ws], 50)):
+        for group in made[::100]:
+            got = [x for ids, ends, _ in book.of(group) for x in np.split(ids, ends[:-1])]
+            assert [x.tolist() for x in got] == [[len(m[0]) for m in book.finditer(t) for _ in range(2)] for t in group]
 
 
 def test_quality_edges(odd, none):
@@ -353,14 +380,44 @@ def test_suffix_dedup(spark, odd, none, small, monkeypatch):
     assert sorted((r[0] or -1, *r[1:]) for r in got) == want
 
 
-def test_index_family_is_logarithmic():
+def test_index_family_is_logarithmic(spark):
     family, rng, seen = suffixdedup.IndexFamily(), np.random.default_rng(3), set()
-    for k in range(64):
-        key = rng.integers(0, 5000, 100).astype(np.uint64)
-        hit = family.add(key, key, np.arange(100) + 100 * k)
-        assert hit.tolist() == [int(x) in seen for x in key]
-        seen |= set(map(int, key))
-    assert len(family.levels) <= 8 and family.merged()[2].sum() == 6400
+    for _ in range(8):
+        keys = rng.integers(0, 3000, 200).tolist()
+        batch = spark.createDataFrame([(k % 7, k, 1) for k in keys], "head long, key long, n long")
+        got = {r["key"] for r in family.add(batch).collect()}
+        assert got == {k for k in keys if k in seen or keys.count(k) > 1}
+        seen |= set(keys)
+    assert len(family.levels) <= 4
+    rows_ = [r for level, _ in family.levels for r in level.collect()]
+    assert sum(r["n"] for r in rows_) == 1600 and {r["key"] for r in rows_} == seen
+
+
+def test_family_decides_and_batches_agree(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = suffixdedup.anchors(docs).cache()
+    whole = {r["key"] for r in suffixdedup.matched(found, 1).collect()}
+    counts = {r["key"] for r in found.groupBy("key").count().where("count > 1").collect()}
+    assert whole == counts == {r["key"] for r in suffixdedup.matched(found, 3).collect()}
+    # a batch that comes later is matched against the levels
+    family = suffixdedup.IndexFamily()
+    first = {r["key"] for r in suffixdedup.matched(found.where("pmod(text_key, 2) = 0"), 2, family).collect()}
+    assert first | {r["key"] for r in suffixdedup.matched(found.where("pmod(text_key, 2) = 1"), 1, family).collect()} == whole
+    found.unpersist()
+    assert suffixdedup.cut_repeats(docs).agg(F.sum("n_removed")).first()[0] > 0
+    monkeypatch.setattr(suffixdedup.IndexFamily, "add", lambda self, rows_: rows_.select("key").limit(0))
+    assert suffixdedup.cut_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_segments_leave_blocks_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts_ = [rng.integers(97, 101, int(n)).astype(np.uint8) for n in (5, 3000, 199, 200, 0, 201, 7000, 50)] + [np.full(2000, 97, np.uint8)]
+    data, ends = np.concatenate(texts_), np.cumsum([len(t) for t in texts_])
+    rows_ = lambda: list(zip(*(np.concatenate(x).tolist() for x in zip(*suffixdedup.blocks_of(data, ends)))))
+    whole = rows_()
+    monkeypatch.setattr(suffixdedup, "SEGMENT", 900)
+    assert rows_() == whole
+    assert sum(span + 1 for *_, span in whole) == sum(max(0, len(t) - 199) for t in texts_)
 
 
 def test_long_pretokens_and_set_bounds():
