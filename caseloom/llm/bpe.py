@@ -30,7 +30,7 @@ from .pretokens import Book, gathered, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens, states and pairs that a worker remembers.
-MAX_WORDS, MAX_STATES, MAX_PAIRS = 1_000_000, 150_000, 300_000
+MAX_WORDS, MAX_STATES, MAX_PAIRS = 500_000, 80_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,20 +41,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """bytes of one pre-token -> ids, one transition a byte.
 
-    A state is a tuple of guesses ``(read, left, held)``: the bytes since a
-    possible token start, the token before it, and the ids that this guess has
-    settled but not all others share.  The last guess has just ended a token.
+    A state is a tuple of guesses ``(node, left, held)``: the place in the trie of
+    all tokens that the bytes since a possible token start lead to, the token before
+    it (-1 at the start), and the ids that this guess has settled but not all others
+    share.  The last guess has just ended a token.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
-        self.inner = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node
+        self.ends, self.inner = [-1], [True]  # of nodes: the token that ends there, whether one goes on
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.ends[node] = rank
         self._splits: dict[bytes, tuple[bytes, bytes] | None | bool] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", b"", ()),)
+        start = ((0, -1, ()),)
         self.ids = {start: 0}
         self.states = [start]
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -90,39 +104,43 @@ class Transducer:
                 y, limit = self._split(y)[0], ry + 1
         return False
 
-    def _allowed(self, left: bytes, token: bytes) -> bool:
-        pair = (left, token)
-        known = self._pairs.get(pair)
-        if known is None:
-            if len(self._pairs) > MAX_PAIRS:
-                self._pairs.clear()
-            try:
-                self._split(token)
-                known = not left or self._kept_apart(left, token)
-            except KeyError:
-                known = False
-            self._pairs[pair] = known
+    def _allowed(self, left: int, rank: int) -> bool:
+        if len(self._pairs) > MAX_PAIRS:
+            self._pairs.clear()
+        token = self.tokens[rank]
+        try:
+            self._split(token)
+            known = left < 0 or self._kept_apart(self.tokens[left], token)
+        except KeyError:
+            known = False
+        self._pairs[left << 32 | rank] = known
         return known
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        one, ended, alive = bytes((byte,)), None, []
-        for read, left, held in state:
-            read += one
-            if ended is None and read in self.ranks and self._allowed(left, read):
-                ended = (b"", read, (*held, self.ranks[read]))
-            if read in self.inner:
-                alive.append((read, left, held))
+        ended, alive, child, pairs = None, [], self.child, self._pairs
+        for node, left, held in state:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if ended is None and (rank := self.ends[node]) >= 0:
+                known = pairs.get(left << 32 | rank)
+                if self._allowed(left, rank) if known is None else known:
+                    ended = (0, rank, (*held, rank))
+            if self.inner[node]:
+                alive.append((node, left, held))
         if ended is None:
             raise ValueError(f"the ranks lack byte {byte}")
-        alive.append(ended)
         shared = ended[2]
         for _, _, held in alive:
             n = min(len(shared), len(held))
             while shared[:n] != held[:n]:
                 n -= 1
             shared = shared[:n]
+            if not n:
+                break
+        alive.append(ended)
         if n := len(shared):
-            alive = [(read, left, held[n:]) for read, left, held in alive]
+            alive = [(node, left, held[n:]) for node, left, held in alive]
         return tuple(alive), shared
 
     def encode(self, piece: bytes) -> tuple[int, ...]:

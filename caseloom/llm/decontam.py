@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, lower_ascii, small_enough, stored, table
+from .common import hinted, keyed, lower_ascii, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -33,10 +33,6 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
-
-
 def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``window, words, item_id``: every run of ``size`` words, or the whole of a shorter item."""
     items = benchmark.where("item_id is not null").select("item_id", terms(F.col("text")).alias("w"))
@@ -53,7 +49,7 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> Da
     """
     words = keyed(docs).select("doc_id", "text_key", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
     if vocabulary is not None:
-        words = words.join(_hint(vocabulary), "term", "left_semi")
+        words = words.join(hinted(vocabulary), "term", "left_semi")
     return stored(words.select("term", "doc_id", "text_key", "pos"), "postings")
 
 
@@ -68,28 +64,28 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """``doc_id, text_key, window, start, len`` of every occurrence of a window (columns ``window, words``)."""
     each = windows.select("window", "words").distinct()
     offsets = each.select("window", F.size("words").alias("len"), F.posexplode("words").alias("off", "term"))
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(index.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
     # at most ten rows a window; a window with an absent term cannot occur
     by_rarity = Window.partitionBy("window").orderBy("n", "off")
-    ranked = offsets.join(_hint(counts), "term").withColumn("rank", F.row_number().over(by_rarity))
+    ranked = offsets.join(hinted(counts), "term").withColumn("rank", F.row_number().over(by_rarity))
     ranked = ranked.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("window")))
     ranked = stored(ranked.where("found = len"), "lookups")
 
     first = ranked.where("rank = 1").select("term", "window", "len", F.col("off").alias("o"))
     keys = ["doc_id", "text_key", "window", "len", "start"]
-    starts = index.join(_hint(first), "term").withColumn("start", F.col("pos") - F.col("o")).where("start >= 0").select(*keys)
+    starts = index.join(hinted(first), "term").withColumn("start", F.col("pos") - F.col("o")).where("start >= 0").select(*keys)
 
     second = ranked.where("rank = 2").select("window", "term", F.col("off").alias("o"))
-    asked = starts.join(_hint(second), "window").withColumn("pos", F.col("start") + F.col("o"))
-    near = index.join(_hint(second.select("term").distinct()), "term", "left_semi")
+    asked = starts.join(hinted(second), "window").withColumn("pos", F.col("start") + F.col("o"))
+    near = index.join(hinted(second.select("term").distinct()), "term", "left_semi")
     left = stored(_meets(asked, near).select(*keys).unionByName(starts.where("len = 1")), "candidates")
 
     rest = ranked.where("rank > 2").select("window", "term", F.col("off").alias("o"))
     docs = left.where("len > 2").select("doc_id", "text_key").distinct()
-    hinted = _hint(docs)
-    there = index.join(hinted, (index["text_key"] == hinted["text_key"]) & index["doc_id"].eqNullSafe(hinted["doc_id"]), "left_semi")
-    there = there.join(_hint(rest.select("term").distinct()), "term", "left_semi")
-    asked = left.join(_hint(rest), "window").withColumn("pos", F.col("start") + F.col("o"))
+    few = hinted(stored(docs, "holders"))
+    there = index.join(few, (index["text_key"] == few["text_key"]) & index["doc_id"].eqNullSafe(few["doc_id"]), "left_semi")
+    there = there.join(hinted(rest.select("term").distinct()), "term", "left_semi")
+    asked = left.join(hinted(rest), "window").withColumn("pos", F.col("start") + F.col("o"))
     full = _meets(asked, there).groupBy(*keys).agg(F.count_distinct("pos").alias("met")).where("met = len - 2")
     return full.select(*keys).unionByName(left.where("len <= 2").distinct())
 
@@ -100,7 +96,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     ``queries``: ``query, first, second, slop``.  Positions are binned by slop + 1, so a
     posting meets those of three bins, not all of its document.
     """
-    q = _hint(queries.select("query", "first", "second", "slop"))
+    q = hinted(queries.select("query", "first", "second", "slop"))
     bin_ = lambda c: F.floor(F.col(c) / (F.col("slop") + 1))
     a = index.join(q, index["term"] == q["first"]).select("query", "slop", "doc_id", "text_key", F.col("pos").alias("first_pos"))
     a = a.withColumn("bin", F.explode(F.array(bin_("first_pos") - 1, bin_("first_pos"), bin_("first_pos") + 1)))
@@ -111,12 +107,17 @@ def proximity_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     return a.join(b, on).where(near).select("query", "doc_id", "text_key", "first_pos", "second_pos").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, text_key, n_words, n_hit, items`` (sorted item ids as strings) for every row of ``docs``."""
+def matches_of(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_key, window, start, len`` of all occurrences of the benchmark's windows, and the windows."""
     windows = stored(test_windows(benchmark, size), "windows")
-    vocabulary = windows.select(F.explode("words").alias("term")).distinct()
+    vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     index = positional_index(docs, vocabulary)
-    matches = stored(phrase_matches(index, windows).select("doc_id", "text_key", "window", "start", "len"), "matches")
+    return stored(phrase_matches(index, windows).select("doc_id", "text_key", "window", "start", "len"), "matches"), windows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``doc_id, text_key, n_words, n_hit, items`` (sorted item ids as strings) for every row of ``docs``."""
+    matches, windows = matches_of(docs, benchmark, size)
 
     spans = matches.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("s"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -126,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         return F.struct((acc["n"] + end - F.greatest(acc["end"], x["start"])).alias("n"), end.alias("end"))
 
     hits = spans.select("doc_id", "text_key", F.aggregate("s", zero, cover, lambda a: a["n"]).cast("long").alias("n_hit"))
-    links = matches.select("doc_id", "text_key", "window").distinct().join(_hint(windows.select("window", "item_id")), "window")
+    links = matches.select("doc_id", "text_key", "window").distinct().join(hinted(windows.select("window", "item_id")), "window")
     items = links.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
     out = keyed(docs).select("doc_id", "text_key", F.size(terms(F.col("text"))).cast("long").alias("n_words"))
@@ -140,10 +141,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold any window of the benchmark."""
-    bad = contamination(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, (key == F.col("_k")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    """``docs`` without the rows that hold any window of the benchmark.
+
+    Only the ids and text keys of these rows are joined; where they are few they
+    are broadcast, and no text is shuffled.
+    """
+    bad = matches_of(docs, benchmark, size)[0].select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    bad = hinted(stored(bad, "contaminated"), BROADCAST_ROWS)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad, (key == bad["_k"]) & docs["doc_id"].eqNullSafe(bad["_d"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,8 @@ input, so a window that overlaps itself loses what its later copy covers.
 Defined results: a null or empty text stays empty; a text of fewer than three
 lines, and a window without a word, are never repeated; rows that repeat id and
 text are one document and keep the same lines; null ids come first; other columns
-stay as they are.
+stay as they are, but for those named ``n_lines`` and ``n_removed`` in
+``dedup_lines`` (``without_repeats`` keeps these too).
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, keyed, stored, table
+from .common import BLANK_CHARS, hinted, keyed, stored, table
 
 LINES = 3
+#: Documents with repeated windows up to which their marks are broadcast, after a check of their size.
+BROADCAST_ROWS = 200_000
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -50,25 +53,44 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, and ``n_lines, n_removed``."""
+    """``docs`` with the repeated lines taken out of ``text``, and ``n_lines, n_removed`` (which replace columns of these names)."""
+    return _cut(docs, lines, ("n_lines", "n_removed"))
+
+
+def _cut(docs: DataFrame, lines: int, names: tuple[str, str]) -> DataFrame:
+    """``dedup_lines`` with the two numbers under other names."""
     windows = stored(line_windows(docs, lines), "lines")
-    marks = repeated_windows(windows).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "starts")
-    rows = docs.withColumn("_k0", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(marks, (F.col("_k0") == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("_d")), "left")
-    joined = joined.withColumn("_ls", F.split(F.coalesce("text", F.lit("")), "\n"))
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (lines - 1))))
-    joined = joined.withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), covered))
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_left", lambda i: F.get("_ls", i)), "\n")
+    marks = repeated_windows(windows).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("starts").alias("_starts"))
+    marks = hinted(stored(marks, "marks"), BROADCAST_ROWS)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(marks, (key == marks["_k"]) & docs["doc_id"].eqNullSafe(marks["_d"]), "left")
+    joined = joined.withColumn("_line_list", F.split(F.coalesce(docs["text"], F.lit("")), "\n"))
+    covered = F.flatten(F.transform(marks["_starts"], lambda s: F.sequence(s, s + (lines - 1))))
+    joined = joined.withColumn("_lines_left", F.array_except(F.sequence(F.lit(0), F.size("_line_list") - 1), covered))
+    text = F.when(marks["_starts"].isNull(), docs["text"]).otherwise(
+        F.array_join(F.transform("_lines_left", lambda i: F.get("_line_list", i)), "\n")
     )
-    total = F.size("_ls").cast("long")
+    total = F.size("_line_list").cast("long")
     return joined.select(
-        *[text.alias("text") if c == "text" else rows[c] for c in docs.columns if c not in ("n_lines", "n_removed")],
-        total.alias("n_lines"),
-        F.when(F.col("starts").isNull(), F.lit(0)).otherwise(total - F.size("_left")).cast("long").alias("n_removed"),
+        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in names],
+        total.alias(names[0]),
+        F.when(marks["_starts"].isNull(), F.lit(0)).otherwise(total - F.size("_lines_left")).cast("long").alias(names[1]),
     )
 
 
+def without_repeats(docs: DataFrame, lines: int = LINES) -> DataFrame:
+    """``docs`` with its own columns alone, without the repeated lines and the documents that they were all of.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    out = _cut(docs, lines, ("_n_lines", "_n_removed"))
+    cut = F.col("_n_removed") > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    gone = cut & (F.translate("text", BLANK_CHARS, "") == "")
+    return out.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+
+
 def op5_line_dedup(spark, sf_dir) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -25,8 +25,9 @@ two sets share a node with chance 2**-64.
 
 Defined results: a null or empty text, or one without words, has no set and is
 linked with nothing; a text of fewer words than a shingle is one shingle; rows
-that repeat an id are documents of their own with that id; a null id is smaller
-than none; further columns are not read.
+that repeat an id are documents of their own with that id; a null id is linked like
+any other but names a component only where all its ids are null; further columns are
+not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_enough, stored, table
+from .common import hinted, keyed, stored, table
 from .hashing import mix, prefix_sums, ranges
 
 #: Minima of a signature, and how many are compared at a time; rows of a band.
@@ -157,10 +158,6 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
-
-
 def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs that sequential comparison of their signatures does not rule out."""
     least = least_matches(threshold)
@@ -186,7 +183,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
     """Pairs ``a, b`` with 100 * intersection >= percent * union on the full sets."""
     pairs = stored(_plausible(pairs, nodes, percent / 100), "plausible")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = _hint(stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "text_key"), "owners"))
+    owners = hinted(stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "text_key"), "owners"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +207,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    both = right.join(_hint(pairs), "b").join(left, "a").select("a", "b", "ia", "ib")
+    both = right.join(hinted(pairs), "b").join(left, "a").select("a", "b", "ia", "ib")
     return stored(both.mapInArrow(confirm, "a long, b long").distinct(), "links")
 
 
@@ -237,7 +234,7 @@ def _close(n: str, m: str, percent: int) -> Column:
 
 def _lone(asked: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``node, lone, odd0, odd1, ...``: the shingles that a node has and no other of the ``asked`` nodes, and their odd cells."""
-    owners = _hint(stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "text_key"), "owners"))
+    owners = hinted(stored(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "text_key"), "owners"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,8 +295,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``near_duplicates`` with ``component``, a node of the component; null where a text has no set."""
     feats = stored(features(docs, size, percent), "features")
-    owner = feats.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
-    owner = owner.select("node", "o.*")
+    owner = feats.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("o"), F.min("doc_id").alias("least_id"))
+    owner = stored(owner.select("node", "o.*", "least_id"), "nodes")
     on = (feats["node"] == owner["node"]) & (feats["text_key"] == owner["text_key"]) & feats["doc_id"].eqNullSafe(owner["doc_id"])
     # one row a node, as equal rows hold equal values
     keep = ["node", "doc_id", "text_key", "n_shingles", "sig", "bands", "cells"]
@@ -328,9 +325,9 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
             labels = components(links)
             seen = seen.unionByName(pairs)
 
-    least = owner.select("node", "doc_id").join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = owner.select("node", "least_id").join(labels, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = labels.join(least, "component").select("node", "component", "component_id")
-    alone = owner.select("node", F.col("doc_id").alias("own"))
+    alone = owner.select("node", F.col("least_id").alias("own"))
     named = alone.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
     out = feats.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
@@ -342,16 +339,23 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     Null is the least id only where all are null.  Of rows that repeat id and
     text any one stays.  A text without words is a component of its own.
     """
-    rows = _grouped(docs, size, percent).where("doc_id <=> component_id")
-    each = rows.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.col("component").isNull(), F.struct("doc_id", "text_key"))
-    least = each.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "text_key", "n")).alias("o"))
-    found = stored(least.select(F.col("o.doc_id").alias("_d"), F.col("o.text_key").alias("_k"), F.col("o.n").alias("_n")), "least")
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = rows.join(found, (F.col("_key") == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
-    if not found.where("_n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_key"])
-    return out.drop("_key")
+    rows = _grouped(docs, size, percent)
+    each = stored(rows.groupBy("component", "component_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "documents")
+    named = each.where("component is not null and doc_id <=> component_id")
+    least = named.groupBy("component").agg(F.min("text_key").alias("least"))
+    # what goes is joined, not what stays: it is the smaller part, and null texts have no component
+    other = each.where("component is not null").join(least, "component", "left")
+    gone = other.where("not (doc_id <=> component_id) or text_key <> least")
+    gone = hinted(stored(gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")), "gone"), BROADCAST_ROWS)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    out = docs.join(gone, (key == gone["_k"]) & docs["doc_id"].eqNullSafe(gone["_d"]), "left_anti")
+    again = each.where("n > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    again = hinted(stored(again, "again"), BROADCAST_ROWS)
+    if again.isEmpty():
+        return out
+    same = (key == again["_k"]) & docs["doc_id"].eqNullSafe(again["_d"])
+    once = out.join(again, same, "left_semi").withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text_key"])
+    return out.join(again, same, "left_anti").unionByName(once.drop("_text_key"))
 
 
 def op9_near_duplicates(spark, sf_dir) -> DataFrame:

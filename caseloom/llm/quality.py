@@ -1,24 +1,26 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Each rule scores a document; a higher score is worse.  A cutoff comes from a
-fixed grid, so labelled documents are a pure holdout.  For a stratum, a rule and
-a cutoff, let n be the good documents and k those above the cutoff.  The cutoff
-is certified if the exact binomial test rejects "the rule loses more than
-alpha / rules of the good documents" at level delta / tests (Bonferroni over
-all strata, rules and cutoffs): P(Bin(n, alpha / rules) <= k) <= delta / tests.
-This is the upper Clopper-Pearson bound in its dual form.  The tightest
-certified cutoff of a rule holds; without one the rule rejects nothing.  By the
-union bound a stratum loses more than ``alpha`` of its good documents over all
-rules with probability ``delta`` at most.
-
-The verdict of ``judge`` is fixed by its SQL.  Even k = 0 then needs some 1430
-good documents in each of four strata.  ``quality_rules``, which the pipeline
-calls, spends alpha on joint rule sets instead (``joint_cutoffs``).
+Each rule scores a document; a higher score is worse.  Cutoffs come from a fixed
+grid, so labelled documents are a pure holdout.  Rule sets (a cutoff for some of
+the rules) are ordered into nested chains, each tighter than the one before.  For a
+stratum and a rule set let n be the good documents and k those that it rejects.  The
+set is certified if the exact binomial test rejects "more than alpha of the good
+documents are lost": P(Bin(n, alpha) <= k) <= delta / (strata * chains), which is
+the upper Clopper-Pearson bound in its dual form.  Along a chain the sets are tested
+in turn at the same level up to the first that fails (fixed-sequence testing), so
+only strata and chains share delta (Bonferroni).  A stratum takes the certified set
+of the chain that came furthest; without one nothing is rejected but by the base
+rule.  With probability 1 - delta no stratum loses more than alpha of its good
+documents.
+
+Even k = 0 needs some 290 good labelled documents in each of four strata.
 
 Defined results: a null or empty text has no words and fails the base rule; a
-null language is a stratum of its own; a document with several labels is good
-only if all are 1; unlabelled strata have no rules; repeated rows are scored
-alike and counted once for each.  Further columns are not read.
+null language counts as the empty one; a document with several labels is good
+only if all are 1; unlabelled strata have no cutoffs; repeated rows are scored
+alike and counted once for each; ties of chains go to the first; an empty table
+gives no rows.  ``judge`` replaces columns that have the names of its own;
+``quality_rules`` keeps all of the caller's.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, BLANKS, small_enough, stored, table
+from .common import BLANK_CHARS, BLANKS, hinted, stored, table
 
 SYMBOLS = "#*$%&|<>"
 #: Scores are whole numbers, so that every engine compares them alike.
@@ -43,7 +45,7 @@ GRID = {
     "repeats": (100, 150, 200, 250),
 }
 ALPHA, DELTA = 0.02, 0.05
-#: Rules as ``joint_cutoffs`` tightens them: what the base rule does not see comes first.
+#: Rules as the chains tighten them: what the base rule does not see comes first.
 ORDER = ("symbols", "long_words", "dup_lines", "repeats")
 #: Strata up to which their cutoffs (a row each) are broadcast.
 MAX_BROADCAST = 10_000
@@ -113,37 +115,6 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(js, step(first.alias("term"), first.alias("sum")), add, lambda s: F.exp(s["sum"]))
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and for each rule the tightest certified cutoff or null.
-
-    The counts are partial sums on the way into one small row per stratum.
-    """
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    held = measured.join(good.where("_quality = 1"), "doc_id")
-    # no filter: one on a measure would be pushed down and take its whole expression along
-    sound = ~base_failed()
-    share = alpha / len(RULES)
-    counts = held.groupBy(stratum().alias("stratum")).agg(
-        F.count_if(sound).alias("n"),
-        *[F.count_if(sound & _exceeds(r, F.lit(c))).alias(f"{r}_{c}") for r in RULES for c in GRID[r]],
-    )
-    tests = sum(map(len, GRID.values()))
-    # the number of strata enters the correction; it is joined, not collected
-    total = counts.agg(F.count(F.lit(1)).alias("strata"))
-    each = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in GRID[r]]
-    trials = counts.select("stratum", "n", F.explode(F.array(*each)).alias("t")).select("stratum", "n", "t.*")
-    level = F.lit(delta) / (F.col("strata") * tests)
-    passed = (
-        trials.where(F.col("k") < F.col("n") * share)
-        .withColumn("p", binomial_cdf(F.col("k"), F.col("n"), share))
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("p") <= level)
-    )
-    return passed.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES]
-    )
-
-
 def _chains() -> list[list[dict[str, int]]]:
     """Nested rule sets (rule -> cutoff), the loosest first; chain c tightens the rules one by one from the c-th of ORDER on."""
     chains = []
@@ -157,13 +128,10 @@ def _chains() -> list[list[dict[str, int]]]:
     return chains
 
 
-def joint_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """As ``certified_cutoffs``, but a rule set is certified as a whole, with all of ``alpha``.
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``_stratum`` and for each rule its cutoff or null; k grows along a chain, so the last set that passes is the one.
 
-    The rule sets of a chain are nested and tested in turn at the same level, up
-    to the first that fails (fixed-sequence testing), so that only strata and
-    chains share ``delta``.  k grows along a chain, so the last set that passes
-    is the one.  A stratum takes the chain that came furthest.
+    The counts are partial sums on the way into one small row per stratum.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     held = measured.join(good.where("_quality = 1"), "doc_id")
@@ -195,31 +163,32 @@ def joint_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
         .where(F.col("p") <= level)
     )
     best = passed.groupBy("stratum").agg(F.max("t").alias("t"))
-    return best.select("stratum", *[F.col(f"t.cut_{r}").alias(f"cut_{r}") for r in RULES])
+    return best.select(F.col("stratum").alias("_stratum"), *[F.col(f"t.cut_{r}").alias(f"cut_{r}") for r in RULES])
 
 
 def stratum() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: bool = True, cutoffs=certified_cutoffs) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: bool = True) -> DataFrame:
     """``docs`` with the base columns, ``base_failed`` and ``kept``; without ``text`` if that is not wanted."""
     # measured once: the cutoffs read the numbers back, the verdicts all of it
+    docs = docs.drop("base_failed", "kept")
     measured = stored(measures(docs) if text else measures(docs).drop("text"), "measured")
-    cuts = cutoffs(measured, labels, alpha, delta)
-    cuts = F.broadcast(cuts) if small_enough(cuts, MAX_BROADCAST) else cuts
-    with_cuts = measured.join(cuts, stratum() == F.col("stratum"), "left")
+    cuts = hinted(stored(certified_cutoffs(measured, labels, alpha, delta), "cutoffs"), MAX_BROADCAST)
+    with_cuts = measured.join(cuts, stratum() == F.col("_stratum"), "left")
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(_exceeds(r, F.col(f"cut_{r}")), F.lit(False))
     # least() rather than "and": a conjunct on the left side alone would be pushed below the join and inlined
     kept = F.least((~base_failed()).cast("int"), (~hit).cast("int")) == 1
-    return with_cuts.select(*measured.columns, base_failed().alias("base_failed"), kept.alias("kept"))
+    return with_cuts.select(*[measured[c] for c in measured.columns], base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The kept rows of ``docs`` with their own columns."""
-    return judge(docs, labels, alpha, delta, cutoffs=joint_cutoffs).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
+    return judge(rows, labels, alpha, delta, text=False).where("kept").select("_row.*")
 
 
 def op2_quality_rules(spark, sf_dir) -> DataFrame:
@@ -232,16 +201,13 @@ def judged_sql(documents: str = "documents", alpha: float = ALPHA, delta: float
     """DuckDB's form; the pipeline's SQL uses it too."""
     blanks = "[\\x20\\x09-\\x0D]+"
     over = lambda r, c: f"{RULES[r][0]} > {c} * {RULES[r][1]}"
-    share = alpha / len(RULES)
-    tests = sum(map(len, GRID.values()))
-    counts = ", ".join(f"count(*) FILTER (NOT base_failed AND {over(r, c)}) AS {r}_{c}" for r in RULES for c in GRID[r])
-
-    def passed(r: str, c: int) -> str:
-        k = f"{r}_{c}"
-        term = f"lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln({1 - share})"
-        return f"{k} < n * {share} AND list_sum(list_transform(range(0, {k} + 1), lambda j: exp({term}))) <= {delta} / ((SELECT count(*) FROM counts) * {tests})"
-
-    cuts = ", ".join("CASE " + " ".join(f"WHEN {passed(r, c)} THEN {c}" for c in sorted(GRID[r])) + f" END AS cut_{r}" for r in RULES)
+    sets = [(c, at, cuts) for c, chain in enumerate(_chains()) for at, cuts in enumerate(chain)]
+    lost = lambda cuts: " OR ".join(over(r, c) for r, c in cuts.items())
+    counts = ", ".join(f"count(*) FILTER (NOT base_failed AND ({lost(cuts)})) AS k{c}_{at}" for c, at, cuts in sets)
+    trials = ", ".join("{" + f"'at': {at}, 'chain': {c}, 'k': k{c}_{at}, " + ", ".join(f"'cut_{r}': {cuts.get(r, 'NULL::INTEGER')}" for r in RULES) + "}" for c, at, cuts in sets)
+    term = f"lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln({1 - alpha})"
+    passed = f"t.k < n * {alpha} AND list_sum(list_transform(range(0, t.k + 1), lambda j: exp({term}))) <= {delta} / ((SELECT count(*) FROM counts) * {len(ORDER)})"
+    cuts = ", ".join(f"t.cut_{r} AS cut_{r}" for r in RULES)
     hits = " OR ".join(f"coalesce({over(r, f'cut_{r}')}, false)" for r in RULES)
     return f"""
 WITH split AS (
@@ -272,7 +238,9 @@ good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVI
 counts AS (
   SELECT stratum, count(*) FILTER (NOT base_failed) AS n, {counts}
   FROM based JOIN good USING (doc_id) GROUP BY stratum),
-cuts AS (SELECT stratum, {cuts} FROM counts),
+trials AS (SELECT stratum, n, unnest([{trials}]) AS t FROM counts),
+cuts AS (SELECT stratum, {cuts} FROM trials WHERE {passed}
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY t.at DESC, t.chain) = 1),
 judged AS (
   SELECT b.*, NOT base_failed AND NOT ({hits}) AS kept
   FROM based b LEFT JOIN cuts USING (stratum))"""

@@ -119,6 +119,65 @@ def test_certified_cutoffs_are_exact(spark):
     assert kept.where("bad = 0").count() == 2000 and kept.where("bad = 1").count() == 0
 
 
+def test_judge_against_brute_force(spark):
+    """Labels enough for cutoffs in two strata, against exact tails in whole numbers and against the SQL."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = np.random.default_rng(12)
+    rows_ = []
+    for i in range(1500):
+        good = int(rng.random() < 0.7)
+        words = ["w" * int(rng.integers(3, 8)) + str(j) for j in range(int(rng.integers(15, 40)))]
+        for k in range(int(rng.choice([0, 0, 0, 1, 2] if good else [0, 1, 4, 9, 12]))):
+            words[k % len(words)] += "#" * int(rng.integers(1, 3))
+        if not good and rng.random() < 0.3:
+            words = ["x" * 12 + w for w in words]
+        text = " ".join(words[:10]) + "\n" + " ".join(words[10:])
+        rows_.append((i, text, ["en", "de", "xx", None][int(rng.choice(4, p=[0.47, 0.45, 0.05, 0.03]))], good))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, good int")
+    labels = docs.where("doc_id % 10 < 9").select("doc_id", F.col("good").alias("quality"))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+
+    def measured(text):
+        ws, ls = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        wins = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
+        cells = {p for i, w in enumerate(wins) if wins.count(w) > 1 for p in range(i, i + 8)}
+        return {"n_words": len(ws), "word_chars": sum(map(len, ws)), "n_symbols": sum(c in quality.SYMBOLS for c in text), "n_dup_lines": len(ls) - len(set(ls)), "n_repeat_words": len(cells), "n_lines": len(ls)}
+
+    every = {i: measured(t) for i, t, _, _ in rows_}
+    over = lambda m, cuts: any(1000 * m[{"symbols": "n_symbols", "dup_lines": "n_dup_lines", "long_words": "word_chars", "repeats": "n_repeat_words"}[r]] / (1000 if r == "long_words" else 1) > c / (1000 if r == "long_words" else 1) * m["n_lines" if r == "dup_lines" else "n_words"] for r, c in cuts.items())
+    sound = lambda m: not (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"])
+    strata = {lang or "" for i, _, lang, g in rows_ if i % 10 < 9 and g}
+    alpha, want, chosen = Fraction(2, 100), {}, {}
+    for lang in {x[2] or "" for x in rows_}:
+        held = [every[i] for i, _, x, g in rows_ if (x or "") == lang and g and i % 10 < 9 and sound(every[i])]
+        best = (-1, 0, {})
+        for c, chain in enumerate(quality._chains()):
+            for at, cuts in enumerate(chain):
+                n, k = len(held), sum(over(m, cuts) for m in held)
+                if n and sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) <= Fraction(5, 100) / (len(strata) * 4) and (at, -c) > best[:2]:
+                    best = (at, -c, cuts)
+        chosen[lang] = best[2]
+        want |= {i: sound(every[i]) and not over(every[i], best[2]) for i, _, x, _ in rows_ if (x or "") == lang}
+    assert got == want and sum(map(bool, chosen.values())) == 2 and not all(chosen.values())
+    assert sum(sound(every[i]) and not want[i] for i in want) > 50
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    own = docs.select("doc_id", "text", "lang")
+    against_duck(quality.judge(own, labels).select(*names), quality.judged_sql() + f" SELECT {', '.join(names)} FROM judged", own, labels=labels)
+
+
+def test_columns_of_the_caller_stay(odd, spark):
+    """Columns with the names of the operators' own come out with their values."""
+    taken = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_removed", "kept", "base_failed", "stratum", "component", "node", "window", "start", "_k", "_d"]
+    docs = odd.select("doc_id", "text", "lang", *[F.lit(777).alias(c) for c in taken])
+    labels = odd.select("doc_id", F.lit(1).alias("quality"))
+    bench = spark.createDataFrame([(1, "lorem ipsum lorem")], "item_id long, text string")
+    for out in (quality.quality_rules(docs, labels), linededup.without_repeats(docs), neardup.drop_near_duplicates(docs), decontam.decontaminate(docs, bench)):
+        rows_ = out.collect()
+        assert out.columns == docs.columns and rows_ and all(r[c] == 777 for r in rows_ for c in taken)
+
+
 def test_small_strata_get_joint_cutoffs(spark):
     """300 good documents of 4 strata are enough; 50 are not; a rule that good documents break does not hold back the others."""
     good, long = " ".join(f"w{j}x" for j in range(30)), " ".join(f"longerword{j}" for j in range(30))
@@ -318,15 +377,15 @@ def brute_components(docs, size, percent):
             x, y = sets[a][1], sets[b][1]
             if x and y and 100 * len(x & y) >= percent * len(x | y) and label[a] != label[b]:
                 label = [label[b] if v == label[a] else v for v in label]
-    low = {v: min((sets[k][0] is not None, sets[k][0] or 0) for k in range(len(sets)) if label[k] == v) for v in label}
-    return sorted(((i or -1), len(s), low[label[k]][1] if low[label[k]][0] else -1) for k, (i, s) in enumerate(sets))
+    low = {v: min((sets[k][0] for k in range(len(sets)) if label[k] == v and sets[k][0] is not None), default=-1) for v in label}
+    return sorted(((-1 if i is None else i), len(s), low[label[k]]) for k, (i, s) in enumerate(sets))
 
 
 @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, odd, none, small, size, percent):
     for docs in (odd, spark.read.parquet(f"{small}/documents.parquet")):
         got = neardup.near_duplicates(docs, size, percent).collect()
-        found = sorted(((-1 if r["doc_id"] is None else r["doc_id"] or -1), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got)
+        found = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got)
         assert found == brute_components(texts(docs), size, percent)
     assert neardup.near_duplicates(none).count() == 0
 
@@ -343,6 +402,15 @@ def test_one_document_of_each_component_stays(spark):
     assert got == sorted([(1, least("a")), (3, text("b")), (3, text("c")), (None, least("d")), (9, text("e", " end")), (4, ""), (5, " ")], key=repr)
 
 
+def test_null_ids_are_linked(spark):
+    text = lambda p, more="": " ".join(f"{p}{i}" for i in range(60)) + more
+    rows_ = [(None, text("a")), (7, text("a")), (5, text("a", " x")), (None, text("b")), (None, text("b", " x")), (None, text("c")), (3, text("c")), (8, text("d")), (None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("component", F.lit(1)).withColumn("node", F.lit("x"))
+    got = neardup.near_duplicates(docs, 3, 85).collect()
+    found = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got)
+    assert found == brute_components(rows_, 3, 85)
+
+
 def test_chains_and_crowds(spark):
     """Links that no least node sees, and a crowd of near copies of one text."""
     base = [f"w{i}" for i in range(120)]
@@ -356,7 +424,7 @@ def test_chains_and_crowds(spark):
         docs.append((100 + k, " ".join([f"c{j}" for j in range(2 * k, 2 * k + 100)])))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = neardup.near_duplicates(frame, 3, 85).collect()
-    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got) == brute_components(docs, 3, 85)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(docs, 3, 85)
 
 
 def test_suffix_dedup(spark, odd, none, small, monkeypatch):
