@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, decontam, linededup, neardup, quality
-from caseloom.llm.common import BLANK_CHARS, stored, table
+from caseloom.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
-    gone = (F.col("n_removed") > 0) & (F.translate("text", BLANK_CHARS, "") == "")
-    if "n_chars" in docs.columns:
-        cut = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType))
-    return out.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+    return linededup.without_repeats(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
