@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import placed
+
 
 class EventLog:
     """``cases``: ``case_id, trace``; ``events``: the long form where it is known."""
@@ -59,8 +61,8 @@ class EventLog:
 
     def variants(self) -> DataFrame:
         """``variant_id, trace, occ, len``; ids by descending count, then by trace."""
-        order = Window.orderBy(F.desc("occ"), "trace")
-        return self.weighted().select((F.row_number().over(order) - 1).alias("variant_id"), "trace", "occ", F.size("trace").alias("len"))
+        ranked, _ = placed(self.weighted(), [F.desc("occ"), F.col("trace")], "variant_id")
+        return ranked.select(F.col("variant_id").cast("int").alias("variant_id"), "trace", "occ", F.size("trace").alias("len"))
 
     def map(self, f: Callable[[Column], Column], drop_empty: bool = False) -> EventLog:
         """Apply a trace expression; equal results of different variants are added up."""

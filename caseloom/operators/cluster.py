@@ -3,35 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..eventlog import EventLog
 from ..functions import trace as T
+from ..storage import placed
 
 
 def balanced(log: EventLog, k: int) -> DataFrame:
-    """Runs of cases by id whose sizes differ by one at most, the larger ones first.
-
-    A global rank without one task: places within range partitions plus the
-    partitions' counts, of which there are as many as partitions.
-    """
-    from pyspark import StorageLevel
-
-    ranged = log.cases.repartitionByRange("case_id").sortWithinPartitions("case_id").withColumn("p", F.spark_partition_id())
-    ranged = ranged.withColumn("k", F.monotonically_increasing_id() % (1 << 33)).persist(StorageLevel.DISK_ONLY)
-    counts = [(r["p"], r["n"]) for r in ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()]
-    total, before, rows = sum(n for _, n in counts), 0, []
-    for p, n in counts:
-        rows.append((p, before))
-        before += n
-    spark = log.cases.sparkSession
-    starts = F.broadcast(spark.createDataFrame(rows, "p int, before long"))
+    """Runs of cases by id whose sizes differ by one at most, the larger ones first."""
+    ranked, total = placed(log.cases.select("case_id", "trace"), [F.col("case_id")], "at")
     size, extra = divmod(total, k)
-    at = F.col("before") + F.col("k")
-    long = extra * (size + 1)
+    at, long = F.col("at"), extra * (size + 1)
     cluster = F.when(at < long, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - long) / max(size, 1)))
-    return ranged.join(starts, "p").select("case_id", "trace", cluster.cast("int").alias("cluster"))
+    return ranked.select("case_id", "trace", cluster.cast("int").alias("cluster"))
 
 
 def _alphabets(log: EventLog) -> list[tuple[frozenset, int]]:

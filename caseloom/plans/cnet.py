@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,8 +100,19 @@ def minimal_arcs(log: EventLog, preferred: Iterable[tuple[str, str]] = (), windo
     ins = each.where("i > 0").select("occ", F.array_sort(F.transform(before, lambda a: F.struct(a.alias("a"), F.col("x").alias("b")))).alias("need"))
     outs = each.where(F.col("i") < F.size("trace") - 1).select("occ", F.array_sort(F.transform(after, lambda b: F.struct(F.col("x").alias("a"), b.alias("b")))).alias("need"))
     needs = [({(p["a"], p["b"]) for p in r["need"]}, r["n"]) for r in ins.unionByName(outs).groupBy("need").agg(F.sum("occ").alias("n")).collect()]
+    return _hitting_set(needs, {a: i for i, a in enumerate(preferred)})
+
+
+def _needs(trace: list[str], occ: int, window: int | None = None) -> list[tuple[set[tuple[str, str]], int]]:
+    """The sets of arcs of which each event of a trace needs one."""
+    reach = window or len(trace)
+    into = [({(a, x) for a in trace[max(0, i - reach) : i]}, occ) for i, x in enumerate(trace) if i]
+    return into + [({(x, b) for b in trace[i + 1 : i + 1 + reach]}, occ) for i, x in enumerate(trace[:-1])]
+
+
+def _hitting_set(needs: list[tuple[set[tuple[str, str]], int]], order: dict[tuple[str, str], int]) -> set[tuple[str, str]]:
+    """Preferred arcs first, then the arc that meets most cases; arcs that turn out not to be needed go."""
     chosen: list[tuple[str, str]] = []
-    order = {a: i for i, a in enumerate(preferred)}
     open_ = needs
     while open_:
         gain: Counter = Counter()
@@ -120,29 +130,60 @@ def minimal_arcs(log: EventLog, preferred: Iterable[tuple[str, str]] = (), windo
 
 
 def _assign(trace: list[str], arcs: set[tuple[str, str]]) -> tuple[list[set[int]], list[set[int]]] | None:
-    """Obligations of a trace: each event takes the nearest source; a producer left over gives to its nearest target."""
+    """Obligations of a trace on the arcs, None if there are none that carry it.
+
+    Each event but the first needs an earlier source and each but the last a later
+    target, and a binding holds a name once: of the events with one name a producer
+    serves one at most, and the other way round.  So pairs (event, name) have room for
+    one obligation; events that no obligation serves yet are served one by one, along
+    a chain of obligations given up and taken anew, as along the augmenting paths of a
+    flow with these bounds; tests hold it against exhaustive search.
+    """
     n = len(trace)
     ins: list[set[int]] = [set() for _ in range(n)]
     outs: list[set[int]] = [set() for _ in range(n)]
-
-    def free(i: int, j: int) -> bool:
-        """One obligation for each pair of names in a binding."""
-        return all(trace[k] != trace[i] for k in ins[j]) and all(trace[k] != trace[j] for k in outs[i])
+    targets = [[j for j in range(i + 1, n) if (trace[i], trace[j]) in arcs] for i in range(n)]
+    sources = [[i for i in range(j - 1, -1, -1) if (trace[i], trace[j]) in arcs] for j in range(n)]
+
+    def clash(i: int, j: int) -> list[tuple[int, int]]:
+        """Obligations that leave no room for (i, j)."""
+        return [(k, j) for k in ins[j] if trace[k] == trace[i]] + [(i, k) for k in outs[i] if trace[k] == trace[j]]
+
+    def serve(event: int, inward: bool, tried: set) -> bool:
+        """Give an event its source (target), moving what is in the way; what that leaves unserved is served in turn."""
+        for other in sources[event] if inward else targets[event]:
+            i, j = (other, event) if inward else (event, other)
+            if (i, j) in tried or j in outs[i]:
+                continue
+            tried.add((i, j))
+            gone = clash(i, j)
+            for a, b in gone:
+                outs[a].discard(b)
+                ins[b].discard(a)
+            outs[i].add(j)
+            ins[j].add(i)
+            open_ = [(b, True) for a, b in gone if b != j and not ins[b]] + [(a, False) for a, b in gone if a != i and not outs[a]]
+            kept = [set(x) for x in ins], [set(x) for x in outs]
+            if all(serve(e, way, tried) for e, way in open_) and ins[j] and outs[i]:
+                return True
+            for held, old in zip((ins, outs), kept, strict=True):
+                for x, y in zip(held, old, strict=True):
+                    x.clear()
+                    x.update(y)
+            outs[i].discard(j)
+            ins[j].discard(i)
+            for a, b in gone:
+                outs[a].add(b)
+                ins[b].add(a)
+        return False
 
     for j in range(1, n):
-        i = next((i for i in range(j - 1, -1, -1) if (trace[i], trace[j]) in arcs and free(i, j)), None)
-        if i is not None:
-            ins[j].add(i)
-            outs[i].add(j)
+        if not ins[j] and not serve(j, True, set()):
+            return None
     for i in range(n - 1):
-        if not outs[i]:
-            j = next((j for j in range(i + 1, n) if (trace[i], trace[j]) in arcs and free(i, j)), None)
-            if j is not None:
-                ins[j].add(i)
-                outs[i].add(j)
-    if all(ins[1:]) and all(outs[:-1]):
-        return ins, outs
-    return None
+        if not outs[i] and not serve(i, False, set()):
+            return None
+    return ins, outs
 
 
 def binding_frequencies(log: EventLog, arcs: set[tuple[str, str]]) -> DataFrame:
@@ -197,13 +238,31 @@ def discover(log: EventLog, preferred: Iterable[tuple[str, str]] = (), window: i
     return net, freq
 
 
-def parallel_discovery(log: EventLog, parts: int) -> Cnet:
-    """Discover on parts of the variants and unite the nets."""
-    net = Cnet()
-    for k in range(parts):
-        part = log.weighted().where(F.pmod(F.xxhash64("trace"), F.lit(parts)) == k)
-        if not part.isEmpty():
-            net = net + discover(EventLog.from_variants(part))[0]
+def parallel_discovery(log: EventLog, parts: int, window: int | None = None) -> Cnet:
+    """Discover on parts of the variants, all at once, and unite the nets.
+
+    A part is one task's group: each of its variants asks for arcs, the greedy set
+    is taken there, and only the parts' bindings come to the driver.
+    """
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        traces = [list(t) for t in df["trace"]]
+        needs = [x for t, n in zip(traces, df["occ"], strict=True) for x in _needs(t, int(n), window)]
+        arcs = _hitting_set(needs, {})
+        found = set()
+        for t in traces:
+            got = _assign(t, arcs)
+            if got is None:
+                arcs |= set(zip(t, t[1:]))
+        for t in traces:
+            ins, outs = _assign(t, arcs) or ([], [])
+            for i, a in enumerate(t):
+                found |= {(side, a, tuple(sorted(t[k] for k in cells[i]))) for side, cells in (("in", ins), ("out", outs)) if cells and cells[i]}
+        return pd.DataFrame([(s, a, list(b)) for s, a, b in sorted(found)], columns=["side", "activity", "binding"])
+
+    rows = log.weighted().withColumn("part", F.pmod(F.xxhash64("trace"), F.lit(parts)))
+    net = Cnet.from_rows((r["side"], r["activity"], r["binding"]) for r in rows.groupBy("part").applyInPandas(run, SCHEMA).distinct().collect())
+    net.activities |= set(log.names())
     return net
 
 
@@ -223,35 +282,33 @@ def simplify(net: Cnet, freq: DataFrame, min_fitness: float = 0.9) -> Cnet:
     return Cnet.from_rows(r for r in net.rows() if (r[0], r[1], tuple(r[2])) not in set(gone))
 
 
-def replays(net: Cnet, trace: list[str], budget: int = 20_000) -> bool:
-    """Whether some choice of bindings leaves no obligation; the ends carry none."""
-    trace, steps = tuple(trace), [0]
-
-    @lru_cache(maxsize=None)
-    def go(i: int, open_: frozenset) -> bool:
-        steps[0] += 1
-        if steps[0] > budget:
-            raise RuntimeError("the search budget is spent")
-        if i == len(trace):
-            return not open_
-        a, have, later = trace[i], dict(open_), set(trace[i + 1 :])
-        for need in net.inputs.get(a, ()) if i else [frozenset()]:
-            left = dict(have)
-            for x in need:
-                if not left.get((x, a)):
-                    break
-                left[x, a] -= 1
-            else:
-                for give in net.outputs.get(a, ()) if i + 1 < len(trace) else [frozenset()]:
-                    if give <= later:
-                        new = dict(left)
-                        for y in give:
-                            new[a, y] = new.get((a, y), 0) + 1
-                        if go(i + 1, frozenset((k, v) for k, v in new.items() if v)):
-                            return True
-        return False
+def replays(net: Cnet, trace: list[str]) -> bool:
+    """Whether some choice of bindings leaves no obligation; the ends carry none.
 
-    return go(0, frozenset())
+    All open obligations that the events so far can leave go along, event by event;
+    an obligation whose target does not come any more drops its choice.
+    """
+    last = {a: i for i, a in enumerate(trace)}
+    now: set[frozenset] = {frozenset()}
+    for i, a in enumerate(trace):
+        gives = [g for g in net.outputs.get(a, ()) if all(last.get(y, -1) > i for y in g)] if i + 1 < len(trace) else [frozenset()]
+        after = set()
+        for open_ in now:
+            for need in net.inputs.get(a, ()) if i else [frozenset()]:
+                have = dict(open_)
+                if not all(have.get((x, a)) for x in need):
+                    continue
+                for x in need:
+                    have[x, a] -= 1
+                if last[a] == i and any(n and y == a for (_, y), n in have.items()):
+                    continue
+                for give in gives:
+                    new = dict(have)
+                    for y in give:
+                        new[a, y] = new.get((a, y), 0) + 1
+                    after.add(frozenset((k, n) for k, n in new.items() if n))
+        now = after
+    return frozenset() in now
 
 
 def fits(log: EventLog, net: Cnet) -> DataFrame:

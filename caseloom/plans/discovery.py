@@ -172,7 +172,11 @@ def process_tree(names: list[str], follows: set[tuple[str, str]], first: set[str
 
 
 def inductive(log: EventLog) -> PetriNet:
-    """A net from the process tree of the directly-follows graph; silent steps have no label."""
+    """A net from the process tree of the directly-follows graph; silent steps have no label.
+
+    The graph does not tell whether a branch of a parallel cut may be missing, so a log in
+    which one is (``ab, abc, acb``) need not replay.
+    """
     net, count = PetriNet("inductive"), [0, 0]
 
     def place() -> str:
@@ -222,8 +226,8 @@ def inductive(log: EventLog) -> PetriNet:
     return net
 
 
-def alignment_cost(net: PetriNet, trace: list[str], states: int = 10_000) -> tuple[int, int] | None:
-    """Least moves on log or model alone, and the length of the cheapest run; None beyond ``states`` states."""
+def alignment_cost(net: PetriNet, trace: list[str], states: int | None = None) -> tuple[int, int] | None:
+    """Least moves on log or model alone, and the states that were looked at; None beyond ``states`` of them, if given."""
     _, first, moves = net.tables()
     final = tuple(int(p == "end") for p in net.places) if "end" in net.initial else None
     heap, best, seen = [(0, 0, first)], {}, 0
@@ -234,7 +238,7 @@ def alignment_cost(net: PetriNet, trace: list[str], states: int = 10_000) -> tup
             continue
         best[i, marking] = cost
         seen += 1
-        if seen > states:
+        if states is not None and seen > states:
             return None
         if i == len(trace) and (final is None or marking == final):
             return cost, seen
@@ -253,8 +257,8 @@ def alignment_cost(net: PetriNet, trace: list[str], states: int = 10_000) -> tup
     return None
 
 
-def alignment_fitness(log: EventLog, net: PetriNet, states: int = 10_000) -> DataFrame:
-    """One row: ``fitness`` = mean of 1 - cost / (events + shortest run), and ``unsolved`` cases beyond ``states``."""
+def alignment_fitness(log: EventLog, net: PetriNet, states: int | None = None) -> DataFrame:
+    """One row: ``fitness`` = mean of 1 - cost / (events + shortest run), and ``unsolved`` cases beyond ``states``, none by default."""
     shortest = alignment_cost(net, [], states)
     floor = shortest[0] if shortest else 0
 

@@ -23,6 +23,11 @@ def day_log(spark, sf_dir: str) -> EventLog:
     return EventLog.from_events(e, F.concat_ws("|", "user_id", F.to_date("ts").cast("string")), "event_type", ["ts", "event_id"])
 
 
+def frequent_log(spark, sf_dir: str) -> EventLog:
+    """The eight most frequent variants of the day log."""
+    return EventLog.from_variants(day_log(spark, sf_dir).weighted().orderBy(F.desc("occ"), "trace").limit(8))
+
+
 def conversation_log(spark, sf_dir: str) -> EventLog:
     return EventLog.from_events(read(spark, sf_dir, "conversations"), "conv_id", "role", ["turn"])
 
@@ -39,6 +44,27 @@ TEXT = "array_to_string(trace, ',')"
 STEPS = ", steps AS (SELECT case_id, unnest(trace[:-2]) AS a, unnest(trace[2:]) AS b FROM cases WHERE len(trace) > 1), ds AS (SELECT a, b, count(*) AS n FROM steps GROUP BY a, b)"
 
 
+RECURSIVE = CONV.replace("WITH", "WITH RECURSIVE", 1)
+TOP = ", top AS (SELECT trace FROM variants ORDER BY occ DESC, trace LIMIT 3)"
+FEW = DAY.replace("WITH", "WITH RECURSIVE", 1) + VARIANTS + TOP.replace("LIMIT 3", "LIMIT 8")
+ALPHABETS = ", sets AS (SELECT list_sort(list_distinct(trace)) AS s, count(*) AS n FROM variants GROUP BY 1)"
+
+
+def _regions(traces: str) -> str:
+    """Minimal regions of one token of the set system of ``traces``, by trying every set of states."""
+    key = "coalesce(array_to_string(list_sort(list_distinct(trace[1:{}])), ','), '')"
+    return f""", p AS (SELECT trace, unnest(range(len(trace))) AS i FROM {traces}),
+edges AS (SELECT DISTINCT {key.format("i")} AS src, trace[i + 1] AS label, {key.format("i + 1")} AS dst FROM p),
+states AS (SELECT src AS s FROM edges UNION SELECT dst FROM edges),
+subs(s, last) AS (SELECT []::VARCHAR[], NULL::VARCHAR UNION ALL SELECT list_append(subs.s, states.s), states.s FROM subs JOIN states ON last IS NULL OR states.s > last),
+steps AS (SELECT subs.s AS m, label, list_contains(subs.s, dst)::INT - list_contains(subs.s, src)::INT AS g FROM subs CROSS JOIN edges),
+grad AS (SELECT m, label, min(g) AS lo, max(g) AS hi FROM steps GROUP BY 1, 2),
+found AS (SELECT m, list({{'l': label, 'g': lo}} ORDER BY label) AS d FROM grad GROUP BY m HAVING bool_and(lo = hi) AND min(lo) < 0),
+minimal AS (SELECT m, d FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.m <> f.m AND list_has_all(f.m, o.m))),
+places AS (SELECT 'p' || (row_number() OVER (ORDER BY d) - 1) AS place, m, d FROM minimal),
+cells AS (SELECT place, m, x.l AS label, x.g AS g FROM (SELECT place, m, unnest(d) AS x FROM places))"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -266,12 +292,26 @@ def exclusive_clusters(spark, sf_dir):
     return cluster.exclusive(day_log(spark, sf_dir)).withColumn("trace", F.concat_ws(",", "trace"))
 
 
-@query()
+@query(DAY.replace("WITH", "WITH RECURSIVE", 1) + VARIANTS + ALPHABETS + f""", tree(path, node) AS (SELECT '', list({{'s': s, 'n': n}}) FROM sets UNION ALL
+  SELECT path || e.side, e.node FROM (SELECT path, unnest([{{'side': '1', 'node': list_filter(node, lambda x: list_contains(x.s, best))}}, {{'side': '0', 'node': list_filter(node, lambda x: NOT list_contains(x.s, best))}}]) AS e
+    FROM (SELECT path, node, list_sort(list_filter(list_transform(names, lambda a: {{'d': abs(list_sum(list_transform(list_filter(node, lambda x: list_contains(x.s, a)), lambda x: x.n)) - total // 2), 'a': a, 'c': list_sum(list_transform(list_filter(node, lambda x: list_contains(x.s, a)), lambda x: x.n))}}), lambda o: o.c < total))[1].a AS best
+      FROM (SELECT path, node, list_sum(list_transform(node, lambda x: x.n)) AS total, list_distinct(flatten(list_transform(node, lambda x: x.s))) AS names FROM tree) WHERE total > 50)
+    WHERE best IS NOT NULL)),
+leaves AS (SELECT node, (row_number() OVER (ORDER BY path) - 1)::INT AS cluster FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.path = t.path || '0')),
+book AS (SELECT x.s AS s, cluster FROM (SELECT unnest(node) AS x, cluster FROM leaves))
+SELECT case_id, {TEXT} AS trace, cluster FROM cases JOIN book ON list_sort(list_distinct(trace)) = s""")
 def optional_clusters(spark, sf_dir):
     return cluster.optional(day_log(spark, sf_dir), 50).withColumn("trace", F.concat_ws(",", "trace"))
 
 
-@query()
+@query(DAY.replace("WITH", "WITH RECURSIVE", 1) + VARIANTS + ALPHABETS + f""", go(step, k, have, rest, got) AS (SELECT 0, 0, NULL::VARCHAR[], list(s ORDER BY len(s), s), []::STRUCT(s VARCHAR[], k INT)[] FROM sets UNION ALL
+  SELECT step + 1, CASE WHEN have IS NOT NULL AND more IS NULL THEN k + 1 ELSE k END, CASE WHEN have IS NULL THEN rest[1] WHEN more IS NULL THEN NULL ELSE list_distinct(list_concat(have, more)) END, CASE WHEN have IS NULL THEN rest ELSE other END,
+    CASE WHEN have IS NULL THEN got ELSE list_concat(got, list_transform(list_filter(rest, lambda x: list_has_all(have, x)), lambda x: {{'s': x, 'k': k}})) END
+  FROM (SELECT *, list_sort(list_transform(list_filter(other, lambda x: len(list_distinct(list_concat(have, x))) <= 3), lambda x: {{'d': len(list_filter(x, lambda y: NOT list_contains(have, y))), 's': x}}))[1].s AS more
+    FROM (SELECT *, list_filter(rest, lambda x: NOT list_has_all(have, x)) AS other FROM go WHERE have IS NOT NULL OR (len(rest) > 0 AND len(rest[1]) <= 3)))),
+final AS (SELECT * FROM go ORDER BY step DESC LIMIT 1),
+book AS (SELECT x.s AS s, x.k AS cluster FROM (SELECT unnest(list_concat(got, list_transform(rest, lambda x: {{'s': x, 'k': k}}))) AS x FROM final))
+SELECT case_id, {TEXT} AS trace, cluster::INT AS cluster FROM cases JOIN book ON list_sort(list_distinct(trace)) = s""")
 def max_alphabet_clusters(spark, sf_dir):
     return cluster.max_alphabet(day_log(spark, sf_dir), 3).withColumn("trace", F.concat_ws(",", "trace"))
 
@@ -330,14 +370,25 @@ def ts_inclusion(spark, sf_dir):
     return rounded(ts.inclusion(log, ts.from_log(top, "seq")))
 
 
-@query()
+@query(CONV + VARIANTS + TOP + """, pre AS (SELECT DISTINCT trace[1:i] AS p FROM (SELECT trace, unnest(range(len(trace) + 1)) AS i FROM top)),
+m AS (SELECT c.trace, max(len(p)) AS k FROM (SELECT DISTINCT trace FROM cases) c JOIN pre ON p = c.trace[1:len(p)] GROUP BY 1),
+g AS (SELECT array_to_string(trace[1:k], ',') AS trace, count(*) AS occ FROM cases JOIN m USING (trace) WHERE k > 0 GROUP BY 1)
+SELECT trace || '#' || i AS case_id, trace FROM (SELECT trace, unnest(range(1, occ + 1)) AS i FROM g)""")
 def ts_included_prefixes(spark, sf_dir):
     log = conversation_log(spark, sf_dir)
     top = EventLog.from_variants(log.weighted().orderBy(F.desc("occ"), "trace").limit(3))
     return text(ts.included(log, ts.from_log(top, "seq"), partial=True))
 
 
-@query()
+@query(RECURSIVE + STEPS + """, names AS (SELECT DISTINCT unnest(trace) AS x FROM cases),
+subsets(s, last) AS (SELECT [x], x FROM names UNION ALL SELECT list_append(s, x), x FROM subsets JOIN names ON x > last),
+free AS (SELECT s FROM subsets WHERE NOT EXISTS (SELECT 1 FROM ds WHERE list_contains(s, a) AND list_contains(s, b))),
+causal AS (SELECT a, b FROM ds d WHERE NOT EXISTS (SELECT 1 FROM ds e WHERE e.a = d.b AND e.b = d.a)),
+pairs AS (SELECT l.s AS p, r.s AS q FROM free l CROSS JOIN free r JOIN causal c ON list_contains(l.s, c.a) AND list_contains(r.s, c.b) GROUP BY 1, 2 HAVING count(*) = len(l.s) * len(r.s)),
+maximal AS (SELECT p, q FROM pairs m WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE (o.p <> m.p OR o.q <> m.q) AND list_has_all(o.p, m.p) AND list_has_all(o.q, m.q))),
+named AS (SELECT 'p' || (row_number() OVER (ORDER BY p, q) - 1) AS place, p, q FROM maximal)
+SELECT unnest(p) AS src, place AS dst, 1::INT AS weight FROM named UNION ALL SELECT place, unnest(q), 1 FROM named
+UNION ALL SELECT DISTINCT 'start', trace[1], 1 FROM cases UNION ALL SELECT DISTINCT trace[-1], 'end', 1 FROM cases""")
 def alpha_net(spark, sf_dir):
     return discovery.alpha(conversation_log(spark, sf_dir)).arcs_df(spark)
 
@@ -347,24 +398,31 @@ def inductive_net(spark, sf_dir):
     return discovery.inductive(conversation_log(spark, sf_dir)).arcs_df(spark)
 
 
-@query()
+@query(FEW + _regions("top") + " SELECT CASE WHEN g > 0 THEN label ELSE place END AS src, CASE WHEN g > 0 THEN place ELSE label END AS dst, abs(g)::INT AS weight FROM cells WHERE g <> 0")
 def region_net(spark, sf_dir):
-    return discovery.net_from_ts(ts.from_log(conversation_log(spark, sf_dir), "set"), 1).arcs_df(spark)
+    return discovery.net_from_ts(ts.from_log(frequent_log(spark, sf_dir), "set"), 1).arcs_df(spark)
 
 
-@query()
+
+@query(FEW + _regions("top") + """, vec AS (SELECT l.label, coalesce(list(g ORDER BY place) FILTER (g IS NOT NULL), []) AS g FROM (SELECT DISTINCT label FROM edges) l LEFT JOIN cells c ON c.label = l.label GROUP BY 1),
+first AS (SELECT coalesce(list(list_contains(m, '')::INT ORDER BY place), []) AS mark FROM places),
+run(trace, i, mark) AS (SELECT trace, 0, mark FROM variants CROSS JOIN first UNION ALL
+  SELECT trace, i + 1, list_transform(list_zip(mark, g), lambda z: z[1] + z[2]) FROM run JOIN vec ON label = trace[i + 1] WHERE len(list_filter(list_zip(mark, g), lambda z: z[1] + z[2] < 0)) = 0),
+fit AS (SELECT DISTINCT trace FROM run WHERE i = len(trace))
+SELECT round(coalesce(sum(occ) FILTER (f.trace IS NOT NULL), 0) / sum(occ), 6) AS fitness FROM variants v LEFT JOIN fit f ON f.trace = v.trace""")
 def net_fitness(spark, sf_dir):
-    log = conversation_log(spark, sf_dir)
-    return petri.fitness(log, discovery.net_from_ts(ts.from_log(log, "set"), 1))
+    """All cases on the net of the most frequent ones."""
+    return rounded(petri.fitness(day_log(spark, sf_dir), discovery.net_from_ts(ts.from_log(frequent_log(spark, sf_dir), "set"), 1)))
 
 
-@query()
+@query(FEW + _regions("top") + " SELECT place, max(list_contains(m, s)::INT)::INT AS capacity FROM places CROSS JOIN states GROUP BY 1")
 def net_capacity(spark, sf_dir):
-    log = conversation_log(spark, sf_dir)
+    log = frequent_log(spark, sf_dir)
     peaks = petri.compute_capacity(log, discovery.net_from_ts(ts.from_log(log, "set"), 1))
     return spark.createDataFrame(sorted(peaks.items()), "place string, capacity int")
 
 
+
 @query()
 def net_simulation(spark, sf_dir):
     return text(petri.simulate(spark, discovery.alpha(conversation_log(spark, sf_dir)), 200, 20, "bfs"))
@@ -381,7 +439,11 @@ def alignment_fitness(spark, sf_dir):
     return rounded(discovery.alignment_fitness(log, discovery.inductive(log)))
 
 
-@query()
+@query(RECURSIVE + _regions("cases") + """, open AS (SELECT s, label FROM states CROSS JOIN (SELECT DISTINCT label FROM edges) l WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.label = l.label AND g < 0 AND NOT list_contains(m, s))),
+may AS (SELECT s, list(label) AS allowed FROM open GROUP BY 1),
+visits AS (SELECT trace[1:i] AS prefix, trace[i + 1] AS nxt FROM (SELECT trace, unnest(range(len(trace) + 1)) AS i FROM cases)),
+per AS (SELECT prefix, count(*) AS n, coalesce(list(DISTINCT nxt) FILTER (nxt IS NOT NULL), []) AS used, coalesce(array_to_string(list_sort(list_distinct(prefix)), ','), '') AS s FROM visits GROUP BY prefix)
+SELECT round(1 - sum(n * len(list_filter(allowed, lambda a: NOT list_contains(used, a)))) / sum(n * len(allowed)), 6) AS precision FROM per JOIN may USING (s)""")
 def etc_precision(spark, sf_dir):
     log = conversation_log(spark, sf_dir)
     return rounded(discovery.etc_precision(log, discovery.net_from_ts(ts.from_log(log, "set"), 1)))
@@ -399,10 +461,20 @@ def discovered_cnet(spark, sf_dir):
     return net.bindings_df(spark).withColumn("binding", F.array_join("binding", ","))
 
 
-@query("SELECT 1.0::DOUBLE AS fitness")
+@query(RECURSIVE + VARIANTS + STEPS + """, arcs AS (SELECT a, b FROM ds WHERE 2 * n >= (SELECT avg(n) FROM ds)), ends AS (SELECT a, b FROM arcs UNION ALL SELECT NULL, NULL),
+run(trace, i, open) AS (SELECT trace, 0, []::VARCHAR[] FROM variants UNION
+  SELECT r.trace, r.i + 1, list_sort(list_concat(CASE WHEN c.a IS NULL THEN r.open ELSE list_concat(r.open[1:list_position(r.open, c.a || '>' || c.b) - 1], r.open[list_position(r.open, c.a || '>' || c.b) + 1:]) END, CASE WHEN p.a IS NULL THEN [] ELSE [p.a || '>' || p.b] END))
+  FROM run r JOIN ends c ON (r.i = 0 AND c.a IS NULL) OR (r.i > 0 AND c.b = r.trace[r.i + 1] AND list_contains(r.open, c.a || '>' || c.b))
+  JOIN ends p ON (r.i + 1 = len(r.trace) AND p.a IS NULL) OR (r.i + 1 < len(r.trace) AND p.a = r.trace[r.i + 1]) WHERE r.i < len(r.trace)),
+fit AS (SELECT DISTINCT trace FROM run WHERE i = len(trace) AND len(open) = 0)
+SELECT round(coalesce(sum(occ) FILTER (f.trace IS NOT NULL), 0) / sum(occ), 6) AS fitness FROM variants v LEFT JOIN fit f ON f.trace = v.trace""")
 def cnet_fitness(spark, sf_dir):
-    log = filters.conditioned(conversation_log(spark, sf_dir))
-    return cnet.fitness(log, cnet.discover(log)[0])
+    """A net of the more frequent steps, which not all cases fit."""
+    log = conversation_log(spark, sf_dir)
+    steps = relations.direct_succession(log)
+    arcs = steps.join(F.broadcast(steps.agg(F.avg("n").alias("mean"))), F.col("n") * 2 >= F.col("mean")).collect()  # a row an arc
+    net = cnet.Cnet.from_rows(x for r in arcs for x in (("in", r["b"], [r["a"]]), ("out", r["a"], [r["b"]])))
+    return rounded(cnet.fitness(log, net))
 
 
 @query(CONV + STEPS + ", d2 AS (SELECT a, b FROM ds WHERE n >= 20) SELECT round((SELECT count(*) FROM d2) / (SELECT count(*) FROM ds), 6) AS similarity")
@@ -421,10 +493,11 @@ def binding_similarity(spark, sf_dir):
     return rounded(cnet.binding_similarity([every, pairs]))
 
 
-@query()
+@query(CONV + STEPS + ", c AS (SELECT count(*) AS arcs, (SELECT count(*) FROM (SELECT a FROM ds UNION SELECT b FROM ds)) AS acts FROM ds) SELECT round(3 * arcs / (acts + 2 * arcs), 6) AS simple, (acts + 5 * arcs)::INT AS overall, arcs::INT AS arcs, (2 * arcs)::INT AS bindings FROM c")
 def cnet_complexity(spark, sf_dir):
     net = cnet.immediately_follows(conversation_log(spark, sf_dir))
-    return spark.createDataFrame([(net.simple_graph_complexity(), net.global_complexity(), len(net.arcs()), net.number_of_bindings())], "simple double, overall int, arcs int, bindings int")
+    row = (net.simple_graph_complexity(), net.global_complexity(), len(net.arcs()), net.number_of_bindings())
+    return rounded(spark.createDataFrame([row], "simple double, overall int, arcs int, bindings int"))
 
 
 @query()
@@ -439,8 +512,10 @@ def bpmn_model(spark, sf_dir):
     return bpmn.discovery(conversation_log(spark, sf_dir), frequencies=True)[0].edges_df(spark)
 
 
-@query("SELECT o_custkey::VARCHAR AS case_id, o_orderpriority AS activity, min(o_orderdate) AS start_ts, max(o_orderdate) AS end_ts FROM orders GROUP BY 1, 2, o_orderkey")
+@query("WITH e AS (SELECT user_id::VARCHAR AS case_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM events WHERE event_type IN ('click', 'purchase')) SELECT a.case_id, 'visit' AS activity, a.ts AS start_ts, coalesce(b.ts, a.ts) AS end_ts FROM e a LEFT JOIN e b ON a.case_id = b.case_id AND a.k = b.k AND b.event_type = 'purchase' WHERE a.event_type = 'click'")
 def paired_lifecycle(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("activity"), F.col("o_orderdate").alias("ts"))
-    both = o.withColumn("state", F.lit("start")).unionByName(o.withColumn("state", F.lit("complete")))
-    return bpmn.paired(both)
+    """The k-th click of a user opens a visit, the k-th purchase closes it."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    state = F.when(F.col("event_type") == "click", "start").otherwise("complete")
+    rows = e.select(F.col("user_id").cast("string").alias("case_id"), F.lit("visit").alias("activity"), "ts", state.alias("state"))
+    return bpmn.paired(rows)
