@@ -8,42 +8,20 @@ share only the id are documents of their own.  A null text counts as empty.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored  # noqa: F401
+
 #: White space of the word rules; any other code point belongs to a word.
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
-_own_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="caseloom-")
-    return _own_folders[app]
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/caseloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id, text_key, text`` with null texts made empty, and ``more``."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -86,8 +86,21 @@ class Tagger:
         tags[:, -1] = best.argmax(1)
         for t in range(steps - 1, 0, -1):
             tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
-        _, m, _ = self.marginals(scores)
-        return tags, np.take_along_axis(m, tags[:, :, None], 2)[:, :, 0]
+        return tags, np.take_along_axis(self._likely(scores), tags[:, :, None], 2)[:, :, 0]
+
+    def _likely(self, scores: np.ndarray) -> np.ndarray:
+        """The marginals alone, by scaled products instead of logarithms."""
+        T = np.exp(self.w["T"] - self.w["T"].max())
+        e = np.exp(scores - scores.max(2, keepdims=True))
+        a, b = np.empty_like(e), np.ones_like(e)
+        a[:, 0] = e[:, 0]
+        for t in range(1, e.shape[1]):
+            a[:, t] = (a[:, t - 1] / a[:, t - 1].sum(1, keepdims=True)) @ T * e[:, t]
+        for t in range(e.shape[1] - 2, -1, -1):
+            x = (e[:, t + 1] * b[:, t + 1]) @ T.T
+            b[:, t] = x / x.sum(1, keepdims=True)
+        m = a * b
+        return m / m.sum(2, keepdims=True)
 
     def gradients(self, rows: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         scores, (x, both, tf, tb) = self.emissions(rows)
