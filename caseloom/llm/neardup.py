@@ -33,7 +33,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ MISS = 1e-6
 #: 64-bit words of the cells that bound how far two sets are apart.
 WORDS = 8
 BROADCAST_ROWS = 500_000
+#: Nodes of a bucket and size class above which their comparisons are dealt to several tasks.
+CROWD = 2048
 
 _SEEDS = mix(np.arange(1, 2 * ROWS * MOST_BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _MULTIPLY, _ADD = (_SEEDS[::2] | np.uint64(1))[:, None], _SEEDS[1::2][:, None]
@@ -272,19 +274,41 @@ def _open(bands: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame
     return stored(rows.where((F.col("n") - F.col("lone")) * 100 >= percent * F.col("n")), "open")
 
 
+def _size_class(n: Column, percent: int) -> tuple[Column, tuple[int, ...]]:
+    """A class of set sizes, and the steps to the classes of sets that can be linked."""
+    if percent >= 100:
+        return n.cast("long"), (0,)
+    # a little wider than the ratio at the threshold: rounding cannot set two linked sets two classes apart
+    return F.floor(F.log(n) / (log(100 / percent) * (1 + 1e-9))), (-1, 0, 1)
+
+
 def _partners(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket between components that can be linked.
 
     Sets of n and m shingles are linked if and only if (100 + percent) * d <= (100 - percent) * (n + m),
     with d shingles in just one of them: all lone ones, and one at least for each cell of
     the others that holds an odd number in one set and an even number in the other.
+
+    A node meets only nodes of its own and the two next size classes, and the nodes of a
+    large class are dealt to parts, so that no bucket is the work of a single task.
     """
-    right = right.select("band", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "lone", "odd")))
+    size, steps = _size_class(F.col("n"), percent)
+    left = left.withColumn("class", size)
+    right = right.withColumn("class", F.explode(F.array(*(size + k for k in steps))))
+    crowds = left.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).where("parts > 1")
+    crowds = hinted(stored(crowds, "crowds"), BROADCAST_ROWS)
+    one = F.coalesce("parts", F.lit(1))
+    left = left.join(crowds, ["band", "class"], "left").withColumn("part", F.pmod(F.xxhash64("node"), one).cast("int"))
+    right = right.join(crowds, ["band", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1)))
+    key = ["band", "class", "part"]
+    right = right.select(*(F.col(c).alias(f"{c}_x") for c in (*key, "node", "component", "n", "lone", "odd")))
     apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("odd_x")[k])) for k in range(WORDS)), F.col("lone") + F.col("lone_x"))
     common = F.abs(F.expr("n - lone - n_x + lone_x")) + F.col("lone") + F.col("lone_x")
     can = F.greatest(apart, common) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_x"))
-    pairs = left.join(right, (left["band"] == right["band"]) & (F.col("component") != F.col("component_x")) & can)
-    return pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+    met = (F.col("component") != F.col("component_x")) & can
+    for c in key:
+        met = met & (F.col(c) == F.col(f"{c}_x"))
+    return left.join(right, met).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -326,7 +350,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
             seen = seen.unionByName(pairs)
 
     least = owner.select("node", "least_id").join(labels, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labels.join(least, "component").select("node", "component", "component_id")
+    named = labels.join(hinted(stored(least, "least"), BROADCAST_ROWS), "component").select("node", "component", "component_id")
     alone = owner.select("node", F.col("least_id").alias("own"))
     named = alone.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
     out = feats.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")

@@ -427,8 +427,18 @@ def test_null_ids_are_linked(spark):
     assert found == brute_components(rows_, 3, 85)
 
 
-def test_chains_and_crowds(spark):
-    """Links that no least node sees, and a crowd of near copies of one text."""
+def test_size_classes_hold_all_links(spark):
+    for percent in (80, 85, 100):
+        size, steps = neardup._size_class(F.col("n"), percent)
+        of = {r["n"]: r["c"] for r in spark.range(1, 1501).select(F.col("id").alias("n"), size.alias("c")).collect()}
+        ends = {n: n * 100 // percent for n in of}
+        assert all(of[m] - of[n] in steps for n, m in ends.items() if m in of)
+
+
+@pytest.mark.parametrize("crowd", [2048, 2])
+def test_chains_and_crowds(spark, monkeypatch, crowd):
+    """Links that no least node sees, and a crowd of near copies of one text, in one task and dealt to many."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     base = [f"w{i}" for i in range(120)]
     rng, docs = np.random.default_rng(4), []
     for k in range(60):
