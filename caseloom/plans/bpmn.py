@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Mapping
+from copy import deepcopy
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -31,6 +32,7 @@ class Process:
     elements: dict[str, Element] = field(default_factory=dict)
     edges: dict[tuple[str, str], dict] = field(default_factory=dict)
     lanes: dict[str, list[str]] = field(default_factory=dict)
+    pools: dict[str, list[str]] = field(default_factory=dict)  # the lanes of each
 
     def add(self, type: str, name: str = "", subtype: str = "", id: str | None = None, lane: str | None = None) -> str:
         id = id or f"{type}{len(self.elements) + 1}"
@@ -54,14 +56,34 @@ class Process:
         if element.lane is not None:
             self.lanes[element.lane].remove(id)
 
+    def add_lane(self, name: str, pool: str | None = None) -> None:
+        self.lanes.setdefault(name, [])
+        if pool is not None and name not in self.pools.setdefault(pool, []):
+            self.pools[pool].append(name)
+
     def delete_lane(self, name: str, with_elements: bool = False) -> None:
+        for lanes in self.pools.values():
+            if name in lanes:
+                lanes.remove(name)
         for id in self.lanes.pop(name):
             self.elements[id].lane = None
             if with_elements:
                 self.delete(id)
 
+    def delete_pool(self, name: str, with_elements: bool = False) -> None:
+        """A pool with its lanes; their elements stay in the process unless asked for."""
+        for lane in list(self.pools[name]):
+            self.delete_lane(lane, with_elements)
+        del self.pools[name]
+
+    def change_subtype(self, id: str, subtype: str) -> None:
+        self.elements[id].subtype = subtype
+
+    def duplicate(self) -> Process:
+        return deepcopy(self)
+
     def clear(self) -> None:
-        self.elements, self.edges, self.lanes = {}, {}, {}
+        self.elements, self.edges, self.lanes, self.pools = {}, {}, {}, {}
 
     def of(self, type: str, subtype: str | None = None) -> list[Element]:
         return [e for e in self.elements.values() if e.type == type and subtype in (None, e.subtype)]
@@ -194,7 +216,10 @@ def discovery(log: EventLog, log_percentage: float | None = None, min_length: in
 
 
 def timed_cases(events: DataFrame, process: Process) -> DataFrame:
-    """Events with both times whose activity is a task (also without blanks in its name), only of cases in which all are."""
+    """Events with both times whose activity is a task (also without blanks in its name), only of cases in which all are.
+
+    ``pos`` numbers the events of a case from 0 by start, then end and element.
+    """
     names = [(e.name, e.id) for e in process.of("task")]
     book = events.sparkSession.createDataFrame(names, "task string, element string")
     exact = F.broadcast(book)
@@ -202,7 +227,8 @@ def timed_cases(events: DataFrame, process: Process) -> DataFrame:
     found = events.join(exact, events["activity"] == F.col("task"), "left").join(loose, F.regexp_replace("activity", " ", "") == F.col("loose"), "left")
     found = found.withColumn("element", F.coalesce("element", "element2"))
     good = F.min((F.col("element").isNotNull() & F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull()).cast("int")).over(Window.partitionBy("case_id"))
-    return found.withColumn("ok", good).where("ok = 1").select("case_id", "activity", "element", "start_ts", "end_ts")
+    pos = F.row_number().over(Window.partitionBy("case_id").orderBy("start_ts", "end_ts", "element")) - 1
+    return found.withColumn("ok", good).where("ok = 1").select("case_id", "activity", "element", "start_ts", "end_ts", pos.alias("pos"))
 
 
 def paired(events: DataFrame, ts: str = "ts", state: str = "state", start: str = "start", end: str = "complete") -> DataFrame:

@@ -50,6 +50,9 @@ class TransitionSystem:
         states = self.states.select(swap("state"), *[c for c in self.states.columns if c != "state"])
         return TransitionSystem(states, edges, new if self.initial == old else self.initial, self.name)
 
+    def signals(self) -> list[str]:
+        return [r[0] for r in self.edges.select("label").distinct().orderBy("label").collect()]
+
     def self_loops(self) -> DataFrame:
         return self.edges.where("src = dst").select("src", "label")
 
@@ -139,10 +142,39 @@ def included(log: EventLog, ts: TransitionSystem, partial: bool = False) -> Even
     return EventLog.from_variants(rows.groupBy("trace").agg(F.sum("occ").alias("occ")))
 
 
-def topological_order(ts: TransitionSystem) -> list[str]:
-    """States of an acyclic system, sources first; raises on a cycle."""
+def state_variants(log: EventLog, ts: TransitionSystem) -> DataFrame:
+    """``state, trace, occ``: the variants that visit a state, each once, as far as they replay."""
+    return replayed(log, ts).select("trace", "occ", F.explode(F.array_distinct("path")).alias("state")).select("state", "trace", "occ")
+
+
+def _walk(names: list[str], after: dict[str, list[str]]) -> list[str]:
+    """States by depth-first walks from ``names``, the last one left first: only edges back into a walk point backwards."""
+    met, out = set(), []
+    for root in names:
+        todo = [] if root in met else [(root, iter(after[root]))]
+        met.add(root)
+        while todo:
+            state, rest = todo[-1]
+            to = next((x for x in rest if x not in met), None)
+            if to is None:
+                out.append(state)
+                todo.pop()
+            else:
+                met.add(to)
+                todo.append((to, iter(after[to])))
+    return out[::-1]
+
+
+def topological_order(ts: TransitionSystem, turn_back: bool = False) -> list[str]:
+    """States, sources first.
+
+    A cycle raises, or with ``turn_back`` the edges that close one on a walk from the
+    first state count as if they led the other way.
+    """
     edges = {(r["src"], r["dst"]) for r in ts.edges.select("src", "dst").distinct().collect()}
     names = [r[0] for r in ts.states.select("state").orderBy("state").collect()]
+    if turn_back:
+        return _walk([ts.initial, *names], {n: sorted(b for a, b in edges if a == n) for n in {ts.initial, *names}})
     into = dict.fromkeys(names, 0)
     after: dict[str, list[str]] = {n: [] for n in names}
     for a, b in sorted(edges):

@@ -65,6 +65,39 @@ def ts_to_dot(ts: TransitionSystem) -> str:
     return f'digraph "{ts.name}" {{\n{rows}\n}}\n'
 
 
+def _graph(ts: TransitionSystem) -> tuple[dict[str, int], list]:
+    """Numbers of the states, the first state's is 0, and the edges in order."""
+    rest = sorted({r["state"] for r in ts.states.select("state").collect()} - {ts.initial})
+    return {s: i for i, s in enumerate([ts.initial, *rest])}, ts.edges.orderBy("src", "label", "dst").collect()
+
+
+def ts_to_graphml(ts: TransitionSystem) -> str:
+    """Names of states, labels of edges and, where there are any, counts of edges as data."""
+    number, edges = _graph(ts)
+    root = ET.Element("graphml", xmlns="http://graphml.graphdrawing.org/xmlns")
+    for owner, name, kind in (("node", "name", "string"), ("edge", "label", "string"), ("edge", "freq", "long")):
+        ET.SubElement(root, "key", {"id": name, "for": owner, "attr.name": name, "attr.type": kind})
+    graph = ET.SubElement(root, "graph", id=ts.name, edgedefault="directed")
+    for s, i in number.items():
+        ET.SubElement(ET.SubElement(graph, "node", id=f"n{i}"), "data", key="name").text = s
+    for r in edges:
+        edge = ET.SubElement(graph, "edge", source=f"n{number[r['src']]}", target=f"n{number[r['dst']]}")
+        for name in ("label", "freq"):
+            if name in r:
+                ET.SubElement(edge, "data", key=name).text = str(r[name])
+    return ET.tostring(root, encoding="unicode")
+
+
+def ts_to_gml(ts: TransitionSystem) -> str:
+    number, edges = _graph(ts)
+    word = lambda x: '"' + x.replace("&", "&amp;").replace('"', "&quot;") + '"'
+    out = [f"  node [ id {i} label {word(s)} ]" for s, i in number.items()]
+    for r in edges:
+        count = f" freq {r['freq']}" if "freq" in r else ""
+        out.append(f"  edge [ source {number[r['src']]} target {number[r['dst']]} label {word(r['label'])}{count} ]")
+    return "\n".join(["graph [", "  directed 1", *out, "]", ""])
+
+
 def pn_from_sis(text: str) -> PetriNet:
     """Arcs between two transitions get a place of their own; weights stand in brackets."""
     s = _sections(text)
@@ -176,6 +209,33 @@ def cnet_to_json(net: Cnet) -> str:
     return json.dumps({"input_sets": sets(net.inputs), "output_sets": sets(net.outputs)})
 
 
+def cnet_to_prom(net: Cnet, old: bool = False, suffix: str = "") -> str:
+    """XML of causal nets; ``old`` adds visibility and arcs, ``suffix`` ends all names.
+
+    The first and last task are named only where there is one of them.
+    """
+    root, ids = ET.Element("cnet"), {a: str(i) for i, a in enumerate(sorted(net.activities))}
+    ET.SubElement(root, "net", type="http://www.processmining.org", id="Causal net")
+    ET.SubElement(root, "name").text = net.name
+    for a, i in ids.items():
+        node = ET.SubElement(root, "node", {"id": i} | ({"isInvisible": "false"} if old else {}))
+        ET.SubElement(node, "name").text = a + suffix
+    for tag, ends in (("startTaskNode", net.starting()), ("endTaskNode", net.final())):
+        if len(ends) == 1:
+            ET.SubElement(root, tag, id=ids[ends[0]])
+    for side, bindings in (("input", net.inputs), ("output", net.outputs)):
+        for a in sorted(bindings):
+            node = ET.SubElement(root, f"{side}Node", id=ids[a])
+            for binding in sorted(map(sorted, bindings[a])):
+                part = ET.SubElement(node, f"{side}Set")
+                for b in binding:
+                    ET.SubElement(part, "node", id=ids[b])
+    if old:
+        for i, (a, b) in enumerate(sorted(net.arcs()), len(ids)):
+            ET.SubElement(root, "arc", id=str(i), source=ids[a], target=ids[b])
+    return ET.tostring(root, encoding="unicode", xml_declaration=True)
+
+
 def cnet_from_json(text: str) -> Cnet:
     data, net = json.loads(text), Cnet()
     for side, key in (("in", "input_sets"), ("out", "output_sets")):
@@ -199,12 +259,18 @@ def bpmn_to_xml(process: Process) -> str:
     ET.register_namespace("", BPMN_NS)
     tag = lambda x: f"{{{BPMN_NS}}}{x}"
     root = ET.Element(tag("definitions"), targetNamespace="http://caseloom")
+    if process.pools:
+        meeting = ET.SubElement(root, tag("collaboration"), id="collaboration")
+        for name in process.pools:
+            ET.SubElement(meeting, tag("participant"), id=f"pool_{name}", name=name, processRef="process")
     p = ET.SubElement(root, tag("process"), id="process", name=process.name)
-    if process.lanes:
-        lanes = ET.SubElement(p, tag("laneSet"), id="lanes")
-        for name, ids in process.lanes.items():
-            lane = ET.SubElement(lanes, tag("lane"), id=f"lane_{name}", name=name)
-            for i in ids:
+    pooled = {lane for lanes in process.pools.values() for lane in lanes}
+    alone = [lane for lane in process.lanes if lane not in pooled]
+    for pool, lanes in [*process.pools.items(), *[(None, alone)] * bool(alone)]:
+        group = ET.SubElement(p, tag("laneSet"), {"id": "lanes"} if pool is None else {"id": f"lanes_{pool}", "name": pool})
+        for name in lanes:
+            lane = ET.SubElement(group, tag("lane"), id=f"lane_{name}", name=name)
+            for i in process.lanes[name]:
                 ET.SubElement(lane, tag("flowNodeRef")).text = i
     kinds = {"task": lambda e: "task", "gateway": lambda e: f"{e.subtype}Gateway", "event": lambda e: f"{e.subtype or 'intermediateThrow'}Event"}
     for e in process.elements.values():
@@ -215,15 +281,22 @@ def bpmn_to_xml(process: Process) -> str:
 
 
 def bpmn_from_xml(text: str) -> Process:
-    out = Process()
-    for p in ET.fromstring(text).iter():
+    out, items = Process(), list(ET.fromstring(text).iter())
+    pools = {x.get("name") for x in items if _local(x.tag) == "participant"}
+    for p in items:
         if _local(p.tag) != "process":
             continue
         out.name = p.get("name") or out.name
         where = {ref.text: lane.get("name") for lane in p.iter() if _local(lane.tag) == "lane" for ref in lane if _local(ref.tag) == "flowNodeRef"}
         for x in p:
             kind, id, name = _local(x.tag), x.get("id"), x.get("name") or ""
-            if kind.lower().endswith("task"):
+            if kind == "laneSet":
+                pool = name if name in pools else None
+                if pool is not None:
+                    out.pools.setdefault(pool, [])
+                for lane in x:
+                    out.add_lane(lane.get("name"), pool)
+            elif kind.lower().endswith("task"):
                 out.add("task", name, "", id, where.get(id))
             elif kind.endswith("Gateway"):
                 out.add("gateway", name, kind.removesuffix("Gateway"), id, where.get(id))

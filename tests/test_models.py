@@ -169,3 +169,75 @@ def test_lifecycle_pairs(spark):
     rows = [("1", "A", 1, "start"), ("1", "A", 2, "start"), ("1", "A", 3, "complete"), ("2", "B", 1, "other"), ("2", "B", 2, "start")]
     got = bpmn.paired(spark.createDataFrame(rows, "case_id string, activity string, ts int, state string"))
     assert sorted(map(tuple, got.collect())) == [("1", "A", 1, 3), ("1", "A", 2, 2)]
+
+
+def test_systems_as_graphs(spark):
+    system = ts.from_log(log_of(spark, "ab", "ab", "ac"), "set")
+    root = models.ET.fromstring(models.ts_to_graphml(system))
+    local = lambda x: x.tag.rsplit("}", 1)[-1]
+    names = {x.get("id"): x[0].text or "" for x in root.iter() if local(x) == "node"}
+    edges = {(names[x.get("source")], names[x.get("target")]): {d.get("key"): d.text for d in x} for x in root.iter() if local(x) == "edge"}
+    assert edges == {("", "a"): {"label": "a", "freq": "3"}, ("a", "a,b"): {"label": "b", "freq": "2"}, ("a", "a,c"): {"label": "c", "freq": "1"}}
+    odd = ts.TransitionSystem.build(spark, [('x"&', "a", "y")], 'x"&')
+    assert models.ts_to_gml(odd) == 'graph [\n  directed 1\n  node [ id 0 label "x&quot;&amp;" ]\n  node [ id 1 label "y" ]\n  edge [ source 0 target 1 label "a" ]\n]\n'
+    assert system.signals() == ["a", "b", "c"]
+
+
+def test_orders_of_cyclic_systems(spark):
+    system = ts.TransitionSystem.build(spark, [("0", "a", "1"), ("1", "b", "2"), ("2", "c", "1"), ("2", "d", "3"), ("9", "e", "3"), ("3", "f", "3")], "0")
+    with pytest.raises(ValueError):
+        ts.topological_order(system)
+    order = ts.topological_order(system, turn_back=True)
+    assert sorted(order) == ["0", "1", "2", "3", "9"]
+    at = order.index
+    assert at("0") < at("1") < at("2") < at("3") and at("9") < at("3")
+
+
+def test_variants_of_states(spark):
+    system = ts.TransitionSystem.build(spark, [("0", "a", "1"), ("1", "b", "0")], "0")
+    rows = ts.state_variants(log_of(spark, "ab", "ab", "aba", "ax"), system).collect()
+    got = sorted((r["state"], "".join(r["trace"]), r["occ"]) for r in rows)
+    assert got == [(s, t, n) for s in "01" for t, n in (("ab", 2), ("aba", 1), ("ax", 1))]
+
+
+def test_cnet_for_prom():
+    net = cnet.Cnet.from_rows([("out", "a", ["b", "c"]), ("out", "a", ["b"]), ("in", "b", ["a"]), ("in", "c", ["a"]), ("out", "b", ["d"]), ("out", "c", ["d"]), ("in", "d", ["b", "c"])])
+    new, old = (models.ET.fromstring(models.cnet_to_prom(net, old=o, suffix="+complete")) for o in (False, True))
+    assert [x.find("name").text for x in new.findall("node")] == [f"{a}+complete" for a in "abcd"]
+    assert (new.find("startTaskNode").get("id"), new.find("endTaskNode").get("id")) == ("0", "3")
+    sets = {x.get("id"): [[y.get("id") for y in s] for s in x] for x in new.findall("outputNode")}
+    assert sets == {"0": [["1"], ["1", "2"]], "1": [["3"]], "2": [["3"]]}
+    assert not new.findall("arc") and new.find("node").get("isInvisible") is None
+    assert [(x.get("id"), x.get("source"), x.get("target")) for x in old.findall("arc")] == [("4", "0", "1"), ("5", "0", "2"), ("6", "1", "3"), ("7", "2", "3")]
+    several = models.ET.fromstring(models.cnet_to_prom(cnet.Cnet({"x", "y"})))
+    assert several.find("startTaskNode") is None and several.find("endTaskNode") is None
+
+
+def test_pools_and_copies():
+    p = bpmn.Process()
+    p.add_lane("x", "buyer")
+    p.add_lane("y", "buyer")
+    p.add_lane("z", "seller")
+    p.add_lane("w")
+    a, b, c = (p.add("task", n, lane=lane) for n, lane in (("A", "x"), ("B", "y"), ("C", "z")))
+    p.connect(a, b)
+    again = models.bpmn_from_xml(models.bpmn_to_xml(p))
+    assert (again.pools, again.lanes) == (p.pools, p.lanes) == ({"buyer": ["x", "y"], "seller": ["z"]}, {"x": [a], "y": [b], "z": [c], "w": []})
+    twin = p.duplicate()
+    twin.delete_pool("buyer")
+    assert twin.pools == {"seller": ["z"]} and twin.elements[a].lane is None and (a, b) in twin.edges
+    twin.delete_pool("seller", with_elements=True)
+    assert c not in twin.elements and twin.lanes == {"w": []}
+    assert p.elements[a].lane == "x" and list(p.pools) == ["buyer", "seller"]
+    g = p.add("gateway", "", "parallel")
+    p.change_subtype(g, "exclusive")
+    assert p.of("gateway", "exclusive")[0].id == g
+
+
+def test_timed_cases_are_in_order_of_start(spark):
+    p = bpmn.Process()
+    a, b = p.add("task", "A"), p.add("task", "B 1")
+    rows = [(1, "B1", 5, 6), (1, "A", 2, 9), (2, "A", 1, 2), (2, "Z", 1, 2), (3, "A", None, 2)]
+    events = spark.createDataFrame(rows, "case_id long, activity string, start_ts long, end_ts long")
+    got = sorted((r["case_id"], r["pos"], r["element"]) for r in bpmn.timed_cases(events, p).collect())
+    assert got == [(1, 0, a), (1, 1, b)]
