@@ -8,7 +8,7 @@ Windows overlap; each is decoded on its own and a character takes the tag of the
 window in whose middle it lies, so a span that one window cuts is whole in the next.
 
 A span of the model is added if its least likely character reaches the cutoff of its
-kind, what the kind means holds (four numbers up to 255, a Luhn sum, 7 to 15 digits)
+kind, what the kind means holds (a dot, four numbers up to 255, a Luhn sum, 7 to 15 digits)
 and it overlaps no span of the rules, which always stay.  The cutoffs are the lowest
 ones with a precision of PRECISION on rows from another generator than the training
 rows; a kind without one adds nothing.
@@ -156,9 +156,15 @@ def labelled_rows(n: int = TRAIN_ROWS, seed: int = 3, style: int = 0) -> tuple[l
 def sampled_rows(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple:
     """``(text of WIDTH characters, spans of the rules)`` around what triggers the model in ``limit`` documents.
 
+    The documents are those of the least hash in each of ``limit`` classes of hashes, which
+    one partial minimum a class finds, however many partitions there are.
     A run of 12 to 19 digits counts as a card whatever its Luhn sum, which no character shows.
     """
-    rows = docs.where("text rlike '[0-9@]'").select(F.xxhash64("text").alias("h"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).orderBy("h").limit(limit).collect()
+    key = F.xxhash64("text")
+    least = docs.where("text rlike '[0-9@]'").groupBy(F.pmod(key, F.lit(limit))).agg(F.min(key).alias("h"))
+    # equal texts are one; at most ``limit`` rows are broadcast, and come to the driver
+    found = docs.select(key.alias("h"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(least), "h", "left_semi")
+    rows = found.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()
     out = []
     for text in (r["text"] for r in rows):
         known = [*base_spans(text), *(("card", *m.span()) for m in CARD.finditer(text) if 12 <= sum(c.isdigit() for c in m[0]) <= 19)]
@@ -225,7 +231,7 @@ def _holds(kind: str, text: str) -> bool:
     """What the kind means, whatever its layout."""
     numbers = re.findall("[0-9]+", text)
     if kind == "email":
-        return text[0].isalnum() and text[-1].isalnum()
+        return text[0].isalnum() and text[-1].isalnum() and re.search(r"\.|\bdot\b", text.lower()) is not None
     if kind == "ip":
         return len(numbers) == 4 and all(map(_number, numbers))
     if kind == "card":
