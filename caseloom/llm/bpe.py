@@ -5,10 +5,10 @@ neighbours is left unchanged by BPE on its own.  So for every prefix of a
 pre-token the last token is determined by the last tokens of shorter prefixes.
 The non-deterministic machine guesses where the token that is being read began;
 its live guesses are the positions from which the bytes read so far are a proper
-prefix of a token.  A deterministic state holds the bytes since the youngest
-position common to all guesses, with the last token at each live position, and
-is made when it is first reached.  A token leaves as soon as all guesses share
-it, so the lookahead is bounded by the longest token.
+prefix of a token.  A deterministic state holds, for each guess, the place in the
+trie of tokens and the token before it, and is made when it is first reached.  A
+transition names the last token of the prefix read so far; tokens leave when all
+guesses share them, which is looked for every ``STRETCH`` bytes and at the end.
 
 Defined results: a null or empty text has no ids and decodes to nothing; ids
 that repeat, ties and repeated rows get equal output each; other columns of the
@@ -30,7 +30,9 @@ from .pretokens import Book, gathered, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens, states and pairs that a worker remembers.
-MAX_WORDS, MAX_STATES, MAX_PAIRS = 500_000, 80_000, 200_000
+MAX_WORDS, MAX_STATES, MAX_PAIRS = 500_000, 200_000, 300_000
+#: Bytes after which tokens leave; the low bits of a packed number, which hold a rank.
+STRETCH, LOW = 1024, (1 << 32) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,37 +43,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """bytes of one pre-token -> ids, one transition a byte.
 
-    A state is a tuple of guesses ``(node, left, held)``: the place in the trie of
-    all tokens that the bytes since a possible token start lead to, the token before
-    it (-1 at the start), and the ids that this guess has settled but not all others
-    share.  The last guess has just ended a token.
+    A state is a tuple of guesses, oldest first, each a number ``node << 32 | left``:
+    the place in the trie of all tokens that the bytes since a possible token start
+    lead to, and 1 + the token before it (0 at the start).  The last guess has just
+    ended a token.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
-        self.ends, self.inner = [-1], [True]  # of nodes: the token that ends there, whether one goes on
+        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.ends, self.inner, self.depth = [-1], [True], [0]  # of nodes: the token that ends there, whether one goes on, its bytes
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
+            for at, byte in enumerate(token, 1):
                 self.inner[node] = True
                 to = self.child.get(node << 8 | byte)
                 if to is None:
                     to = self.child[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
                     self.inner.append(False)
+                    self.depth.append(at)
                 node = to
             self.ends[node] = rank
         self._splits: dict[bytes, tuple[bytes, bytes] | None | bool] = {}
         self._pairs: dict[int, bool] = {}
-        self._reset()
+        self._reset((0,))
 
-    def _reset(self) -> None:
-        start = ((0, -1, ()),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+    def _reset(self, state: tuple[int, ...]) -> int:
+        """Forget all states but the start and ``state``; the number of ``state``."""
+        self.ids, self.states = {(0,): 0}, [(0,)]
+        self.steps: dict[int, int] = {}  # state << 8 | byte -> next state << 32 | last token
+        return self._number(state)
+
+    def _number(self, state: tuple[int, ...]) -> int:
+        n = self.ids.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+        return n
 
     def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes ``token``; None for a byte; raises KeyError if BPE never makes it."""
@@ -110,58 +120,70 @@ class Transducer:
         token = self.tokens[rank]
         try:
             self._split(token)
-            known = left < 0 or self._kept_apart(self.tokens[left], token)
+            known = not left or self._kept_apart(self.tokens[left - 1], token)
         except KeyError:
             known = False
         self._pairs[left << 32 | rank] = known
         return known
 
-    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        ended, alive, child, pairs = None, [], self.child, self._pairs
-        for node, left, held in state:
-            node = child.get(node << 8 | byte)
+    def _step(self, state: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """The next state and the last token of what is read by then."""
+        ended, alive, child, pairs, ends, inner = -1, [], self.child, self._pairs, self.ends, self.inner
+        for guess in state:
+            node = child.get(guess >> 32 << 8 | byte)
             if node is None:
                 continue
-            if ended is None and (rank := self.ends[node]) >= 0:
+            left = guess & LOW
+            if ended < 0 and (rank := ends[node]) >= 0:
                 known = pairs.get(left << 32 | rank)
                 if self._allowed(left, rank) if known is None else known:
-                    ended = (0, rank, (*held, rank))
-            if self.inner[node]:
-                alive.append((node, left, held))
-        if ended is None:
+                    ended = rank
+            if inner[node]:
+                alive.append(node << 32 | left)
+        if ended < 0:
             raise ValueError(f"the ranks lack byte {byte}")
-        shared = ended[2]
-        for _, _, held in alive:
-            n = min(len(shared), len(held))
-            while shared[:n] != held[:n]:
-                n -= 1
-            shared = shared[:n]
-            if not n:
-                break
-        alive.append(ended)
-        if n := len(shared):
-            alive = [(node, left, held[n:]) for node, left, held in alive]
-        return tuple(alive), shared
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+        alive.append(ended + 1)
+        return tuple(alive), ended
+
+    def _shared(self, state: tuple[int, ...], last: list[int]) -> int:
+        """The latest token boundary that all guesses of ``state`` have behind them."""
+        at = {len(last) - self.depth[guess >> 32] for guess in state}
+        while len(at) > 1:
+            end = max(at)
+            at.remove(end)
+            at.add(end - self.length[last[end - 1]])
+        return at.pop()
+
+    def _tokens(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to ``end``, read backwards from the last one."""
+        out = []
+        while end:
+            out.append(last[end - 1])
+            end -= self.length[out[-1]]
+        return out[::-1]
+
+    def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        if len(self.states) > self.max_states:
-            self._reset()
-        at, out, steps = 0, [], self.steps
-        for byte in piece:
-            step = steps.get(at << 8 | byte)
-            if step is None:
-                state, ids = self._step(self.states[at], byte)
-                to = self.ids.setdefault(state, len(self.states))
-                if to == len(self.states):
-                    self.states.append(state)
-                step = steps[at << 8 | byte] = (to, ids)
-            at = step[0]
-            if step[1]:
-                out.extend(step[1])
-        return (*out, *self.states[at][-1][2])
+            return [whole]
+        at, last, out = 0, [], []
+        for begin in range(0, len(piece), STRETCH):
+            if begin:
+                n = self._shared(self.states[at], last)
+                out += self._tokens(last, n)
+                del last[:n]
+            if len(self.states) > self.max_states:
+                at = self._reset(self.states[at])
+            steps = self.steps
+            for byte in piece[begin : begin + STRETCH]:
+                key = at << 8 | byte
+                step = steps.get(key)
+                if step is None:
+                    state, rank = self._step(self.states[at], byte)
+                    step = steps[key] = self._number(state) << 32 | rank
+                at = step >> 32
+                last.append(step & LOW)
+        return out + self._tokens(last, len(last))
 
 
 class Utf8Stream:
