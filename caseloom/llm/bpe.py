@@ -30,7 +30,7 @@ from .pretokens import Book, gathered, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens, states and pairs that a worker remembers.
-MAX_WORDS, MAX_STATES, MAX_PAIRS = 500_000, 200_000, 300_000
+MAX_WORDS, MAX_STATES, MAX_PAIRS = 500_000, 100_000, 200_000
 #: Bytes after which tokens leave; the low bits of a packed number, which hold a rank.
 STRETCH, LOW = 1024, (1 << 32) - 1
 
